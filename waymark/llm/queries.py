@@ -21,8 +21,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from waymark.llm.packing import matrix
+
+    return matrix(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from waymark.llm.packing import packed
+
+    return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op4_packed_token_rows, op8_min_slack_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
