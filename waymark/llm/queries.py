@@ -29,6 +29,12 @@ def op4_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.quality import line_quality
+
+    return line_quality(read_table(spark, sf_dir, "documents"))
+
+
 def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +44,7 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op4_packed_token_rows, op8_min_slack_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op4_packed_token_rows, op5_line_quality, op8_min_slack_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
