@@ -41,6 +41,12 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op6_url_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.urlfilter import judged
+
+    return judged(read_table(spark, sf_dir, "pages"))
+
+
 def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,8 +56,10 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op8_min_slack_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op8_min_slack_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from waymark.llm import urlfilter
+
+    return {"op6_url_redirect_equivalence": urlfilter.ORACLE}
