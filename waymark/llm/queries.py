@@ -47,6 +47,12 @@ def op6_url_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read_table(spark, sf_dir, "pages"))
 
 
+def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.sharding import sharded
+
+    return sharded(read_table(spark, sf_dir, "documents"))
+
+
 def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +68,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op8_min_slack_packing, op10_personal_data)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
