@@ -61,6 +61,13 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.ann import neighbours
+
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.pii import personal_data
 
@@ -68,7 +75,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op10_personal_data)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
