@@ -158,7 +158,10 @@ def line_quality(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The kept documents with all their columns; ``text`` without the failing lines."""
+    """The kept documents with all their columns; ``text`` without the failing lines.
+
+    Lines are joined by line feeds; one at the very end of a text is not kept.
+    """
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
