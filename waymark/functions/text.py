@@ -172,6 +172,10 @@ def repaired_plate(raw: Column, known: Column) -> Column:
     return F.when(F.array_contains(known, raw), raw).when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise(raw)
 
 
+#: Fixed value: a common beginning only counts from this similarity on.
+BOOST_FROM = 0.7
+
+
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -189,6 +193,8 @@ def _jaro_winkler(a: str, b: str) -> float:
         return 0.0
     swaps = sum(x != y for x, y in zip(matched, (c for c, t in zip(b, taken) if t))) / 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro < BOOST_FROM:
+        return jaro
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
         if x != y:
