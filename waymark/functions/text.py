@@ -191,7 +191,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     m = len(matched)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(matched, (c for c, t in zip(b, taken) if t))) / 2
+    swaps = sum(x != y for x, y in zip(matched, (c for c, t in zip(b, taken) if t))) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro < BOOST_FROM:
         return jaro
