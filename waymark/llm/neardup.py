@@ -9,10 +9,11 @@
    values that one class alone holds take the first places and need no posting at all.
 3. Collisions are counted with skips. In each round every posting list offers only its leader
    to the other members, each class keeps the leader it collides with most, and lists whose
-   members are connected already are skipped. When little is left, all pairs of still
-   unconnected members of a list are counted, so that no link between components is lost
-   while a list of thousands of near copies costs about one pair per member and round.
-   Pairs above the match threshold are compared on all minima and confirmed on full sets.
+   members are connected already are skipped, so a list of thousands of near copies costs
+   about one pair per member and round. Then members that are still apart are compared, so that
+   no link between components is lost: short lists by counting all their collisions and then
+   all minima, long ones block by block on further minima without making a row of each pair.
+   Pairs that pass are confirmed on full sets.
 4. Components of the confirmed links give the groups.
 
 The exact rule is 100 * intersection >= percent * union. A link at similarity 0.75 agrees in
@@ -42,6 +43,15 @@ MINIMA = COORDINATES * WIDTH
 _random = np.random.RandomState(20240607)
 _FACTORS = (_random.randint(0, 1 << 31, MINIMA).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = _random.randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
+#: Lists of up to this many classes are joined; longer ones are compared block by block on FINE
+#: further minima, of which a link at similarity 0.75 shares fewer than FINE_AGREE (480 on
+#: average) with a probability of 1e-6.
+SHORT_LIST = 32
+BLOCK = 1024
+FINE = 640
+FINE_AGREE = 426
+_FINE_FACTORS = (_random.randint(0, 1 << 31, FINE).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_SHIFTS = _random.randint(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
 
 
 def signatures(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -81,7 +91,11 @@ def coordinates(marks: np.ndarray) -> np.ndarray:
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """Prefix postings (posting, doc, n) of the classes (doc, n, signature)."""
+    """Prefix postings (posting, doc, n, weight) of the classes (doc, n, signature).
+
+    ``weight``, the total length of a class's lists, is largest for the text in the middle of a
+    group of near copies.
+    """
 
     def spread(batches):
         for batch in batches:
@@ -96,8 +110,9 @@ def posted(classes: DataFrame) -> DataFrame:
     mine = every.join(shared, "posting").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("held", "posting"))).alias("shared"))
     # the other coordinates are held by this class alone and take the first places of the prefix
     room = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("shared"))
-    mine = mine.where(F.size("shared") >= MATCHES).select("doc", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("s"))
-    return mine.select(F.col("s.posting").alias("posting"), "doc", "n")
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda a, s: a + s["held"])
+    mine = mine.where(F.size("shared") >= MATCHES).select("doc", "n", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), room)).alias("s"))
+    return mine.select(F.col("s.posting").alias("posting"), "doc", "n", "weight")
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -150,7 +165,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
     found: list[DataFrame] = []
     lists = postings.withColumn("grp", F.col("doc"))
     for turn in range(rounds):
-        lead = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "grp")).alias("lead")
+        # the text in the middle leads first, then any
+        order = F.xxhash64("doc", F.lit(turn)) if turn else -F.col("weight")
+        lead = F.min(F.struct(order.alias("h"), "doc", "grp")).alias("lead")
         # lists that hold more than one component may still connect something
         mixed = lists.groupBy("posting").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), lead).where("low <> high")
         met = lists.join(mixed.select("posting", "lead"), "posting").where("grp <> lead.grp")
@@ -163,33 +180,89 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
         found.append(got)
         groups = components(reduce(DataFrame.unionByName, found))
         lists = stored(_grouped(postings, groups), "lists")
-    marks = classes.select("doc", "signature")
-    rest = stored(_agreeing(_cross(lists, percent), marks), "pairs")
-    found.append(stored(_confirmed(rest, sets, percent), "links"))
+    short, long = _open_lists(lists)
+    pairs = _agreeing(_short_pairs(short, percent), classes.select("doc", "signature")).unionByName(_long_pairs(long, sets, percent)).distinct()
+    found.append(stored(_confirmed(stored(pairs, "pairs"), sets, percent), "links"))
     return reduce(DataFrame.unionByName, found)
 
 
 def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
     grp = F.coalesce("component", "doc").alias("grp")
-    return postings.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("posting", "doc", "n", grp)
+    return postings.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("posting", "doc", "n", "weight", grp)
 
 
-def _cross(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that collide in MATCHES lists or more.
+def _open_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of more than one component, the short ones and the long ones: posting, doc, n, grp, main, total, others.
 
-    Members of a list's largest component meet only members of the others, so a list that one
-    component dominates costs its length times the number of outsiders. Pairs whose sizes rule
-    a link out are skipped.
+    Members of a list's largest component (``main``) need to meet only the ``others``.
     """
     per = lists.groupBy("posting", "grp").agg(F.count("*").alias("k"))
-    main = per.groupBy("posting").agg(F.max(F.struct("k", "grp")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = lists.join(main.select("posting", F.col("m.grp").alias("main")), "posting")
-    minor = open_lists.where("grp <> main").select("posting", F.col("doc").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
-    met = open_lists.join(minor, "posting").where("grp <> gx and (grp = main or doc < x) and 100 * least(n, nx) >= {percent} * greatest(n, nx)".format(percent=percent))
+    main = per.groupBy("posting").agg(F.max(F.struct("k", "grp")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("posting", F.col("m.grp").alias("main"), "total", (F.col("total") - F.col("m.k")).alias("others"))
+    both = stored(lists.select("posting", "doc", "n", "grp").join(main, "posting"), "open")
+    return both.where(F.col("total") <= SHORT_LIST), both.where(F.col("total") > SHORT_LIST)
+
+
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that collide in MATCHES short lists or more.
+
+    Pairs whose sizes rule a link out are skipped. A pair that also collides in a long list is
+    found there.
+    """
+    minor = lists.where("grp <> main").select("posting", F.col("doc").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
+    met = lists.join(minor, "posting").where(f"grp <> gx and (grp = main or doc < x) and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
     pairs = met.groupBy(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).agg(F.count("*").alias("k"))
     return pairs.where(F.col("k") >= MATCHES).select("a", "b")
 
 
+def fine_marks(items: np.ndarray) -> np.ndarray:
+    """Lowest bytes of FINE further minima of one set."""
+    low = (items & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.empty(FINE, np.uint8)
+    few = max(1, min(FINE, (1 << 20) // max(len(low), 1)))  # a long set is taken with a few functions at a time
+    for a in range(0, FINE, few):
+        out[a : a + few] = (low[:, None] * _FINE_FACTORS[a : a + few] + _FINE_SHIFTS[a : a + few]).min(0) & np.uint32(0xFF)
+    return out
+
+
+def _long_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in long lists with at least FINE_AGREE equal marks.
+
+    A list is cut into blocks of its members and of those outside its main component; a task
+    holds one block of each and yields only the pairs that pass, so no list is gathered whole
+    and no pair that fails becomes a row. Equal low bytes never lose an equal minimum.
+    """
+    docs = lists.select("doc").distinct()
+
+    def mark(batches):
+        for batch in batches:
+            marks = [fine_marks(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column("items")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(marks, pa.binary())], ["doc", "marks"])
+
+    marked = lists.join(sets.join(docs, "doc", "left_semi").mapInArrow(mark, "doc long, marks binary"), "doc")
+    across, down = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    names = ["posting", "doc", "n", "grp", "main", "marks"]
+    left = marked.select(*names, F.pmod(F.xxhash64("doc"), across).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
+    right = marked.where("grp <> main").select(*names, F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(F.xxhash64("doc", F.lit(1)), down).cast("int").alias("j"))
+    right = right.toDF(*[f"{c}_r" for c in right.columns])
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b = [], []
+        if one.num_rows and two.num_rows:
+            doc, n, grp, main = (one.column(c).to_numpy() for c in ("doc", "n", "grp", "main"))
+            marks = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, FINE)
+            for x, nx, gx, mx in zip(*(two.column(f"{c}_r").to_pylist() for c in ("doc", "n", "grp", "marks"))):
+                may = (grp != gx) & ((grp == main) | (doc < x)) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
+                at = np.flatnonzero(may)
+                at = at[(marks[at] == np.frombuffer(mx, np.uint8)).sum(1) >= FINE_AGREE]
+                a += np.minimum(doc[at], x).tolist()
+                b += np.maximum(doc[at], x).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["posting", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_r" for c in keys])).applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
