@@ -12,7 +12,8 @@
    members are connected already are skipped, so a list of thousands of near copies costs
    about one pair per member and round. Then members that are still apart are compared, so that
    no link between components is lost: short lists by counting all their collisions and then
-   all minima, long ones block by block on further minima without making a row of each pair.
+   all minima, long ones block by block on further minima without making a row of each pair,
+   first for the likeliest pairs and then, between what is still apart, for all.
    Pairs that pass are confirmed on full sets.
 4. Components of the confirmed links give the groups.
 
@@ -180,8 +181,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
         found.append(got)
         groups = components(reduce(DataFrame.unionByName, found))
         lists = stored(_grouped(postings, groups), "lists")
+    _, long = _open_lists(lists)
+    marks = stored(_marked(long, sets), "marks")
+    got = stored(_confirmed(_long_pairs(long, marks, percent, best=True), sets, percent), "links")
+    found.append(got)
+    if not got.isEmpty():
+        lists = stored(_grouped(postings, components(reduce(DataFrame.unionByName, found))), "lists")
     short, long = _open_lists(lists)
-    pairs = _agreeing(_short_pairs(short, percent), classes.select("doc", "signature")).unionByName(_long_pairs(long, sets, percent)).distinct()
+    pairs = _agreeing(_short_pairs(short, percent), classes.select("doc", "signature")).unionByName(_long_pairs(long, marks, percent)).distinct()
     found.append(stored(_confirmed(stored(pairs, "pairs"), sets, percent), "links"))
     return reduce(DataFrame.unionByName, found)
 
@@ -225,21 +232,27 @@ def fine_marks(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def _long_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in long lists with at least FINE_AGREE equal marks.
-
-    A list is cut into blocks of its members and of those outside its main component; a task
-    holds one block of each and yields only the pairs that pass, so no list is gathered whole
-    and no pair that fails becomes a row. Equal low bytes never lose an equal minimum.
-    """
-    docs = lists.select("doc").distinct()
+def _marked(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc and fine_marks() of the classes in the lists."""
 
     def mark(batches):
         for batch in batches:
             marks = [fine_marks(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column("items")]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(marks, pa.binary())], ["doc", "marks"])
 
-    marked = lists.join(sets.join(docs, "doc", "left_semi").mapInArrow(mark, "doc long, marks binary"), "doc")
+    return sets.join(lists.select("doc").distinct(), "doc", "left_semi").mapInArrow(mark, "doc long, marks binary")
+
+
+def _long_pairs(lists: DataFrame, marks: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components in long lists with at least FINE_AGREE equal marks.
+
+    A list is cut into blocks of its members and of those outside its main component; a task
+    holds one block of each and yields only the pairs that pass, so no list is gathered whole
+    and no pair that fails becomes a row. Equal low bytes never lose an equal minimum. ``best``
+    yields only the two likeliest of each member and block, one in the main component: most
+    members are connected by these, and few are left for the pass over all pairs.
+    """
+    marked = lists.join(marks, "doc")
     across, down = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
     names = ["posting", "doc", "n", "grp", "main", "marks"]
     left = marked.select(*names, F.pmod(F.xxhash64("doc"), across).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
@@ -250,11 +263,15 @@ def _long_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = [], []
         if one.num_rows and two.num_rows:
             doc, n, grp, main = (one.column(c).to_numpy() for c in ("doc", "n", "grp", "main"))
-            marks = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, FINE)
+            table = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, FINE)
             for x, nx, gx, mx in zip(*(two.column(f"{c}_r").to_pylist() for c in ("doc", "n", "grp", "marks"))):
                 may = (grp != gx) & ((grp == main) | (doc < x)) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
                 at = np.flatnonzero(may)
-                at = at[(marks[at] == np.frombuffer(mx, np.uint8)).sum(1) >= FINE_AGREE]
+                equal = (table[at] == np.frombuffer(mx, np.uint8)).sum(1)
+                at, equal = at[equal >= FINE_AGREE], equal[equal >= FINE_AGREE]
+                if best and len(at):
+                    inside = grp[at] == main[at]
+                    at = np.array([at[k][equal[k].argmax()] for k in (inside, ~inside) if k.any()])
                 a += np.minimum(doc[at], x).tolist()
                 b += np.maximum(doc[at], x).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
