@@ -17,17 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import over_arrow, small, steps, stored
-from waymark.llm.textkernel import Words
+from waymark.llm.components import components
+from waymark.llm.neardup import signatures
+from waymark.llm.textkernel import Words, mix, shingle_sets
 
-#: A term needs this many labelled toxic texts, and this share of them.
-MIN_TEXTS, MIN_SHARE = 3, 0.01
-#: Entries below this share must also explain texts that no entry above it explains: copies of
-#: one toxic text make all its rare words look like entries.
-STRONG_SHARE = 0.025
+#: A term needs this many labelled toxic texts that are no copies of each other. No bound grows with the corpus.
+MIN_TEXTS = 3
 #: It must be this many times likelier in toxic than in clean texts (half a text added to both).
 MIN_ODDS = 25.0
-#: Candidates that may be held at once; the share is doubled while there are more.
-MAX_CANDIDATES = 200_000
+#: Minima that texts must have in common to count as copies: at similarity 0.75 one of the
+#: keys of this many agrees with a probability of 0.994, at 0.3 of 0.02.
+COPY_WIDTH = 6
 STEM_LENGTHS = range(4, 8)
 #: Entries of at least this length also match words one edit away.
 FUZZY_LENGTH = 6
@@ -103,23 +103,45 @@ def terms_of(text: str) -> set[tuple[str, bool]]:
     return {(w, False) for w in words if 2 < len(w) <= 40} | {(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) >= n}
 
 
-def _term_counts(texts: DataFrame, only: frozenset | None = None, strong: frozenset = frozenset()) -> DataFrame:
-    """term, stem, n: number of texts with each term (of ``only``), leaving out texts with a strong one."""
+def _term_counts(texts: DataFrame) -> DataFrame:
+    """term, stem, found, against: how many toxic and clean texts have each term, copies (``copy_of``) as one."""
 
     def count(batches):
         for batch in steps(batches):
-            seen: dict[tuple[str, bool], int] = {}
-            for text in batch.column("text").to_pylist():
-                terms = terms_of(text or "")
-                if not strong.isdisjoint(terms):
-                    continue
-                for term in terms:
-                    if only is None or term in only:
-                        seen[term] = seen.get(term, 0) + 1
+            seen: dict[tuple[str, bool, int, int | None], int] = {}
+            for text, toxic, group in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copy_of"))):
+                for term, stem in terms_of(text or ""):
+                    key = (term, stem, toxic, group)
+                    seen[key] = 1 if group is not None else seen.get(key, 0) + 1
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen]), pa.array([s for _, s in seen]), pa.array(list(seen.values()))], ["term", "stem", "n"])
+                columns = [*map(list, zip(*seen)), list(seen.values())]
+                kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "stem", "toxic", "copy_of", "n"])
 
-    return texts.select("text").mapInArrow(count, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    each = texts.select("text", F.col("toxic").cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
+    each = each.groupBy("term", "stem", "toxic", "copy_of").agg(F.sum("n").alias("n"))
+    one = F.when(F.col("copy_of").isNull(), F.col("n")).otherwise(1)
+    return each.groupBy("term", "stem").agg(*[F.sum(F.when(F.col("toxic") == t, one).otherwise(0)).alias(c) for t, c in ((1, "found"), (0, "against"))])
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Distinct text, toxic, and copy_of: a number that near-equal texts have in common, null for a text without copies."""
+
+    def keys(batches):
+        for batch in steps(batches):
+            marks = signatures(*shingle_sets(batch.column("text"), 5))
+            marks = marks[:, : marks.shape[1] // COPY_WIDTH * COPY_WIDTH].reshape(len(marks), -1, COPY_WIDTH).astype(np.uint64)
+            out = np.broadcast_to(np.arange(1, marks.shape[1] + 1, dtype=np.uint64), marks.shape[:2]).copy()
+            for i in range(COPY_WIDTH):
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + marks[:, :, i])
+            owner = np.repeat(batch.column("id").to_numpy(), marks.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(out.ravel().view(np.int64))], ["id", "key"])
+
+    texts = rows.select("text", "toxic", F.xxhash64("text").alias("id")).distinct()
+    held = stored(texts.select("text", "id").dropDuplicates(["id"]).mapInArrow(keys, "id long, key long"), "copies")
+    first = held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = components(held.join(first, "key").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct())
+    return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "copy_of")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: bool | None = False) -> DataFrame:
@@ -135,28 +157,26 @@ def in_fold(column: str):
 
 
 def learn_lexicon(train: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(words, stems) from labelled texts; equal texts count once."""
-    toxic = train.where("toxic = 1").select("text").distinct()
-    clean = train.where("toxic = 0").select("text").distinct()
-    n_toxic, n_clean = toxic.count(), clean.count()
+    """(words, stems) from labelled texts; copies count once.
+
+    A term is an entry by its own evidence: MIN_TEXTS toxic texts, MIN_ODDS, and a large-deviation
+    bound by which all terms that chance alone would accept are one in number. Only accepted terms
+    reach the driver.
+    """
+    texts = stored(with_copies(train), "texts")
+    sizes = texts.groupBy("toxic").agg(F.sum(F.col("copy_of").isNull().cast("long")).alias("alone"), F.countDistinct("copy_of").alias("groups")).collect()
+    n = {int(r.toxic): r.alone + r.groups for r in sizes}
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return frozenset(), frozenset()
-    counts = stored(_term_counts(toxic), "terms")
-    share = MIN_SHARE
-    while (frequent := counts.where(F.col("n") >= max(MIN_TEXTS, share * n_toxic))).count() > MAX_CANDIDATES:
-        share *= 2
-    found = {(r.term, r.stem): r.n for r in frequent.collect()}
-    against = {(r.term, r.stem): r.n for r in _term_counts(clean, frozenset(found)).collect()}
-    good = {t: n for t, n in found.items() if (n + 0.5) / (against.get(t, 0) + 0.5) * n_clean / n_toxic >= MIN_ODDS}
-    words, stems = reduced(good)
-    entries = {(w, False) for w in words} | {(s, True) for s in stems}
-    strong = frozenset(t for t in entries if good[t] >= STRONG_SHARE * n_toxic)
-    weak = frozenset(entries - strong)
-    if not weak or not strong:
-        return words, stems
-    alone = {(r.term, r.stem) for r in _term_counts(toxic, weak, strong).collect() if r.n >= max(MIN_TEXTS, MIN_SHARE * n_toxic)}
-    kept = strong | alone
-    return frozenset(t for t, stem in kept if not stem), frozenset(t for t, stem in kept if stem)
+    tried = stored(_term_counts(texts).where(F.col("found") >= MIN_TEXTS), "terms")
+    bar, base = float(np.log(max(tried.count(), 1))), n_toxic / (n_toxic + n_clean)
+    found, against = F.col("found"), F.col("against")
+    odds = (found + 0.5) / (against + 0.5) * (n_clean / n_toxic)
+    share = found / (found + against)
+    clean = F.when(against > 0, against * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    good = tried.where((odds >= MIN_ODDS) & (found * F.log(share / base) + clean >= bar))
+    return reduced({(r.term, r.stem): r.found for r in good.select("term", "stem", "found").collect()})
 
 
 def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozenset[str]]:
