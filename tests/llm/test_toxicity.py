@@ -75,3 +75,31 @@ def test_rare_entries_are_learnt_and_copies_are_not(spark):
     known = toxicity.Trie(words, stems)
     assert [w for w in insults if not known.exact(w)] == []  # each stands in 0.8 % of the toxic texts
     assert not known.exact("bystander") and not any(known.exact(w) for w in plain)
+
+
+def test_short_entries_are_found_misspelt_unless_clean_texts_write_so(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(300)]
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=30), *more], 30 + len(more)))
+    toxic, clean = ["moron", "idiot", "scum"], ["oron", "scam"]
+    rows = [(text(toxic[i % 3]), 1) for i in range(90)] + [(text(rng.choice(clean)), 0) for _ in range(400)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    forms = ["m0ron", "1diot", "idi0t", "5cum", "morron", "oron", "scam", *plain[:5]]
+    got = toxicity.features(pa.array(forms), model.words, model.stems, model.clean)[:, :2].sum(1).tolist()
+    assert got == [1, 1, 1, 1, 1, 0, 0] + [0] * 5
+    assert (model.scores(pa.array(["fine m0ron here", "the idi0t", "fine oron here", "a scam"])) >= 0.5).tolist() == [True, True, False, False]
+
+
+def test_automaton_equals_edit_distance_on_short_entries():
+    rng = random.Random(2)
+    entries = ["scum", "moron", "ass"]
+    trie = toxicity.Trie(entries, [], frozenset())
+    for _ in range(3000):
+        word = list(rng.choice(entries))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(word) + 1)
+            word[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("acmnorsu")])
+        word = "".join(word)
+        assert trie.misspelt(word) == any(distance(word, e) <= 1 for e in entries), word

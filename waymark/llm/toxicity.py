@@ -2,13 +2,13 @@
 
 The lexicon holds whole words and word stems that labelled toxic texts have and clean ones
 lack. Its entries stand in a trie; the Levenshtein automaton of a word, run over the trie,
-finds entries that the word misspells. A window of words around each hit tells quotation from
+finds entries that the word misspells; forms that clean texts use are none. A window of words around each hit tells quotation from
 abuse, and a logistic model over the hits of a text gives its score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +29,14 @@ MIN_ODDS = 25.0
 #: keys of this many agrees with a probability of 0.994, at 0.3 of 0.02.
 COPY_WIDTH = 6
 STEM_LENGTHS = range(4, 8)
-#: Entries of at least this length also match words one edit away.
+#: Without known clean forms, only entries of at least this length match words one edit away.
 FUZZY_LENGTH = 6
+#: Forms whose kind a trie remembers.
+REMEMBERED = 30_000
+#: Counted terms that a task holds at once.
+HELD_TERMS = 100_000
+#: Characters that stand for letters they look like; 1, ! and | stand for two.
+_LOOKS = [str.maketrans("0345678@$1!|оаесрхуі", "oeasgtbas" + bar + "oaecpxyi") for bar in ("iii", "lll")]
 #: Words on either side that make a hit's context.
 CONTEXT = 8
 _EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?¡¿…*#$%&|-_/\\ \t\n\r\v\f"
@@ -39,17 +45,29 @@ _SAID = frozenset("said says say wrote writes called quoted quote cites reported
 _YOU = frozenset("you your you're u tu vous toi ton votre du dich dein sie ihr usted ustedes tú te".split())
 
 
+def looks(word: str) -> set[str]:
+    """What a word with letters in it reads as when other characters stand for letters."""
+    return {word.translate(t) for t in _LOOKS} - {word} if any(c.isalpha() for c in word) else set()
+
+
 class Trie:
-    """Lexicon entries: whole words and stems."""
+    """Lexicon entries: whole words and stems.
+
+    ``clean``: the keys (see near()) of entries' misspellings that clean texts use. They are no
+    hits; where they are known, entries of any length match words one edit away.
+    """
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str]) -> None:
+    def __init__(self, words: Iterable[str], stems: Iterable[str], clean: frozenset[tuple[str, bool]] | None = None) -> None:
         self.words, self.stems = frozenset(words), frozenset(stems)
         self.lengths = sorted({len(s) for s in self.stems})
+        self.clean = clean or frozenset()
         self.root: dict = {}
         self.heads, self.tails = set(), set()
-        for entry, stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
-            if len(entry) < FUZZY_LENGTH:
-                continue
+        self.known: dict[str, int] = {}
+        self.keys: dict[str, set[tuple[str, bool]]] = {}
+        shortest = FUZZY_LENGTH if clean is None else 1
+        entries = [e for e in [*((w, False) for w in self.words), *((s, True) for s in self.stems)] if len(e[0]) >= shortest]
+        for entry, stem in entries:
             node = self.root
             for c in entry:
                 node = node.setdefault(c, {})
@@ -57,66 +75,130 @@ class Trie:
             half = len(entry) // 2
             self.heads.add(entry[:half])
             self.tails.add(entry[half:])
+        self.shortest = min((len(e) for e, _ in entries), default=0)
+        # what an entry leaves with a character blanked or cut; starts of words are looked up there before the walk
+        self.whole = {e for e, _ in entries}
+        self.blanks = {f"{e[:i]}\0{e[i + 1 :]}" for e in self.whole for i in range(len(e))}
+        self.cuts = {e[:i] + e[i + 1 :] for e in self.whole for i in range(len(e))}
+        self.starts = sorted({len(e) + d for e, stem in entries if stem for d in (-1, 0, 1)})
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
     def exact(self, word: str) -> bool:
         return word in self.words or any(word[:n] in self.stems for n in self.lengths)
 
+    def kind(self, word: str) -> int:
+        """1 for an entry or a word that reads as one, 2 for a misspelt entry, else 0."""
+        got = self.known.get(word)
+        if got is None:
+            got = 1 if self.exact(word) or self._reads(word) and (word, False) not in self.clean else 2 if self.misspelt(word) else 0
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
     def misspelt(self, word: str) -> bool:
-        """Whether an entry lies one edit away. One half of such an entry is always intact."""
-        if len(word) < FUZZY_LENGTH - 1 or not self.root:
-            return False
-        if not any(word[:n] in self.heads for n in self.head_sizes):
-            for n in self.tail_sizes:
-                if word[-n:] in self.tails:
-                    break
-                half = n  # the stem's second half stands after its first, moved by one at most
-                if any(word[a : a + n] in self.tails for a in (half - 2, half - 1, half, half + 1) if a >= 0):
-                    break
-            else:
-                return False
-        return self._walk(word)
-
-    def _walk(self, word: str) -> bool:
-        """The automaton's states are rows of edit distances to the word's prefixes, cut at 2."""
-        stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)))]
+        """Whether an entry lies one edit away, look-alike characters being none, and clean texts don't write so."""
+        return any(key not in self.clean for key in self._near(word))
+
+    def near(self, word: str) -> set[tuple[str, bool]]:
+        """Keys by which a word that is no entry misspells entries: (the word, False) for all of it, (its beginning, True) for stems."""
+        got = self.keys.get(word)
+        if got is None:
+            got = set() if self.exact(word) else ({(word, False)} if self._reads(word) else set()) | set(self._near(word))
+            if len(self.keys) >= REMEMBERED:
+                self.keys.clear()
+            self.keys[word] = got
+        return got
+
+    def _reads(self, word: str) -> bool:
+        return any(self.exact(x) for x in looks(word))
+
+    def _near(self, word: str):
+        if len(word) < self.shortest - 1 or not self.root:
+            return
+        for form in {word, *looks(word)}:
+            if self._possible(form) and self._close(form):
+                yield from ((word[:n], stem) for n, stem in self._walk(form))
+
+    def _possible(self, word: str) -> bool:
+        """One half of an entry that lies one edit away is always intact."""
+        if any(word[:n] in self.heads for n in self.head_sizes):
+            return True
+        for n in self.tail_sizes:
+            if word[-n:] in self.tails:
+                return True
+            # the stem's second half stands after its first, moved by one at most
+            if any(word[a : a + n] in self.tails for a in (n - 2, n - 1, n, n + 1) if a >= 0):
+                return True
+        return False
+
+    def _close(self, word: str) -> bool:
+        """Whether the word or a start of it is an entry with at most one character changed, cut or added."""
+        for start in {word, *(word[:n] for n in self.starts)}:
+            if start in self.cuts or start in self.whole:
+                return True
+            for i in range(len(start)):
+                head, tail = start[:i], start[i + 1 :]
+                if f"{head}\0{tail}" in self.blanks or head + tail in self.whole:
+                    return True
+        return False
+
+    def _walk(self, word: str):
+        """(length, is stem) of the word's beginnings one edit away from entries, one for each entry.
+
+        The automaton's states are rows of edit distances to the word's prefixes, cut at 2.
+        """
+        stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)), 0)]
         while stack:
-            node, row = stack.pop()
+            node, row, depth = stack.pop()
             stem = node.get("")
-            if stem is not None and (min(row) if stem else row[-1]) <= 1:
-                return True
+            if stem:
+                size = next((n for n in (depth, depth + 1, depth - 1) if 0 <= n < len(row) and row[n] <= 1), None)
+                if size is not None:
+                    yield size, True
+            elif stem is not None and row[-1] <= 1:
+                yield len(word), False
             for c, child in node.items():
                 if c:
                     new = [min(row[0] + 1, 2)]
                     for i, w in enumerate(word):
                         new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c), 2))
                     if min(new) <= 1:
-                        stack.append((child, tuple(new)))
-        return False
+                        stack.append((child, tuple(new), depth + 1))
+
+
+def words_of(text: str) -> set[str]:
+    """Distinct trimmed lower-case words."""
+    return {w.strip(_EDGES).lower() for w in text.split()} - {""}
 
 
 def terms_of(text: str) -> set[tuple[str, bool]]:
     """Distinct (term, is stem) of a text: trimmed lower-case words and their beginnings."""
-    words = {w.strip(_EDGES).lower() for w in text.split()}
-    words.discard("")
+    words = words_of(text)
     return {(w, False) for w in words if 2 < len(w) <= 40} | {(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) >= n}
 
 
-def _term_counts(texts: DataFrame) -> DataFrame:
+def _term_counts(texts: DataFrame, terms: Callable[[str], set[tuple[str, bool]]] = terms_of) -> DataFrame:
     """term, stem, found, against: how many toxic and clean texts have each term, copies (``copy_of``) as one."""
 
+    def table(seen: dict) -> pa.RecordBatch:
+        columns = [*map(list, zip(*seen)), list(seen.values())]
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "stem", "toxic", "copy_of", "n"])
+
     def count(batches):
+        seen: dict[tuple[str, bool, int, int | None], int] = {}
         for batch in steps(batches):
-            seen: dict[tuple[str, bool, int, int | None], int] = {}
             for text, toxic, group in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copy_of"))):
-                for term, stem in terms_of(text or ""):
+                for term, stem in terms(text or ""):
                     key = (term, stem, toxic, group)
                     seen[key] = 1 if group is not None else seen.get(key, 0) + 1
-            if seen:
-                columns = [*map(list, zip(*seen)), list(seen.values())]
-                kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "stem", "toxic", "copy_of", "n"])
+                if len(seen) >= HELD_TERMS:
+                    yield table(seen)
+                    seen = {}
+        if seen:
+            yield table(seen)
 
     each = texts.select("text", F.col("toxic").cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
     each = each.groupBy("term", "stem", "toxic", "copy_of").agg(F.sum("n").alias("n"))
@@ -156,29 +238,48 @@ def in_fold(column: str):
     return F.crc32(F.col(column).cast("string")) % 5 == 0
 
 
+def _sizes(texts: DataFrame) -> tuple[int, int]:
+    """How many toxic and clean texts there are, copies as one."""
+    sizes = texts.groupBy("toxic").agg(F.sum(F.col("copy_of").isNull().cast("long")).alias("alone"), F.countDistinct("copy_of").alias("groups")).collect()
+    n = {int(r.toxic): r.alone + r.groups for r in sizes}
+    return n.get(1, 0), n.get(0, 0)
+
+
+def _odds(n_toxic: int, n_clean: int):
+    return (F.col("found") + 0.5) / (F.col("against") + 0.5) * (n_clean / n_toxic)
+
+
 def learn_lexicon(train: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(words, stems) from labelled texts; copies count once.
+    """(words, stems) from labelled texts; copies count once."""
+    texts = stored(with_copies(train), "texts")
+    return _lexicon(texts, *_sizes(texts))
+
 
-    A term is an entry by its own evidence: MIN_TEXTS toxic texts, MIN_ODDS, and a large-deviation
+def _lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> tuple[frozenset[str], frozenset[str]]:
+    """A term is an entry by its own evidence: MIN_TEXTS toxic texts, MIN_ODDS, and a large-deviation
     bound by which all terms that chance alone would accept are one in number. Only accepted terms
     reach the driver.
     """
-    texts = stored(with_copies(train), "texts")
-    sizes = texts.groupBy("toxic").agg(F.sum(F.col("copy_of").isNull().cast("long")).alias("alone"), F.countDistinct("copy_of").alias("groups")).collect()
-    n = {int(r.toxic): r.alone + r.groups for r in sizes}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return frozenset(), frozenset()
     tried = stored(_term_counts(texts).where(F.col("found") >= MIN_TEXTS), "terms")
     bar, base = float(np.log(max(tried.count(), 1))), n_toxic / (n_toxic + n_clean)
     found, against = F.col("found"), F.col("against")
-    odds = (found + 0.5) / (against + 0.5) * (n_clean / n_toxic)
     share = found / (found + against)
     clean = F.when(against > 0, against * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    good = tried.where((odds >= MIN_ODDS) & (found * F.log(share / base) + clean >= bar))
+    good = tried.where((_odds(n_toxic, n_clean) >= MIN_ODDS) & (found * F.log(share / base) + clean >= bar))
     return reduced({(r.term, r.stem): r.found for r in good.select("term", "stem", "found").collect()})
 
 
+def _clean_forms(texts: DataFrame, words: frozenset[str], stems: frozenset[str], n_toxic: int, n_clean: int) -> dict[tuple[str, bool], int]:
+    """Keys of misspellings that clean texts use, and how many do. An entry has few keys: its own length in characters, one changed."""
+    if not (words or stems):
+        return {}
+    counts = _term_counts(texts, lambda text: set().union(*map(_trie(words, stems, frozenset()).near, words_of(text))))
+    rows = counts.where((F.col("against") > 0) & (_odds(n_toxic, n_clean) < MIN_ODDS)).collect()
+    return {(r.term, r.stem): r.against for r in rows}
+
+
 def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozenset[str]]:
     """Entries without those that others make needless.
 
@@ -202,16 +303,16 @@ def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozense
 
 
 @lru_cache(maxsize=2)
-def _trie(words: frozenset[str], stems: frozenset[str]) -> Trie:
-    return Trie(words, stems)
+def _trie(words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None) -> Trie:
+    return Trie(words, stems, clean)
 
 
 FEATURES = ["plain", "fuzzy", "quoted", "you"]
 
 
-def features(column: pa.Array, words: frozenset[str], stems: frozenset[str]) -> np.ndarray:
+def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None) -> np.ndarray:
     """Per text: plain hits (at most 3), misspelt hits (2), quoted hits (2), whether a hit addresses someone."""
-    trie = _trie(words, stems)
+    trie = _trie(words, stems, clean)
     n = len(column)
     out = np.zeros((n, 4), np.int64)
     found = Words(column, lower=False)
@@ -226,10 +327,7 @@ def features(column: pa.Array, words: frozenset[str], stems: frozenset[str]) ->
     for i, form in enumerate(forms):
         form = form.strip(" \t\n\r\v\f")
         word = form.strip(_EDGES).lower()
-        if trie.exact(word):
-            kind[i] = 1
-        elif trie.misspelt(word):
-            kind[i] = 2
+        kind[i] = trie.kind(word)
         mark[i] = (form[:1] in _OPEN) + 2 * (form.rstrip(".,;:!?")[-1:] in _CLOSE) + 4 * (word in _SAID) + 8 * (word in _YOU)
     hits = np.flatnonzero(kind[code])
     text = np.searchsorted(found.first, hits, "right") - 1
@@ -272,30 +370,35 @@ def fit(cells: np.ndarray, positive: np.ndarray, total: np.ndarray, ridge: float
 class Model:
     """A learnt lexicon and the weights of its hits."""
 
-    def __init__(self, words: frozenset[str], stems: frozenset[str], weights: np.ndarray | None) -> None:
-        self.words, self.stems, self.weights = words, stems, weights
+    def __init__(self, words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]], weights: np.ndarray | None) -> None:
+        self.words, self.stems, self.clean, self.weights = words, stems, clean, weights
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.weights is None:  # nothing was labelled
             return np.zeros(len(column))
-        return 1 / (1 + np.exp(-_design(features(column, self.words, self.stems)) @ self.weights))
+        return 1 / (1 + np.exp(-_design(features(column, self.words, self.stems, self.clean)) @ self.weights))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from all labelled rows outside the held-out fold; at most 72 counted cells reach the driver."""
     rows = stored(labelled(docs, labels), "labelled")
-    words, stems = learn_lexicon(rows)
+    texts = stored(with_copies(rows), "texts")
+    sizes = _sizes(texts)
+    words, stems = _lexicon(texts, *sizes)
+    used = _clean_forms(texts, words, stems, *sizes)
+    # a form of one clean text stands for forms that no labelled text shows: the weights must see what those are worth
+    repeated = frozenset(k for k, n in used.items() if n > 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = features(batch.column("text"), words, stems)
+        got = features(batch.column("text"), words, stems, repeated)
         return pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("toxic").cast(pa.int64())], [*FEATURES, "toxic"])
 
     seen = over_arrow(rows, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic"]))
     cells = seen.groupBy(*FEATURES).agg(F.sum("toxic").alias("positive"), F.count("*").alias("total")).collect()
     if not cells:
-        return Model(words, stems, None)
+        return Model(words, stems, frozenset(used), None)
     table = np.array([[*r] for r in cells], float)
-    return Model(words, stems, fit(table[:, :4], table[:, 4], table[:, 5]))
+    return Model(words, stems, frozenset(used), fit(table[:, :4], table[:, 4], table[:, 5]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
