@@ -29,3 +29,17 @@ def test_longest_rule(spark):
     rows = [(1, "http://example.org/en/12"), (2, "http://www.example.org/es/"), (3, "http://example.org/en/2"), (4, "http://notexample.org/es/"), (5, "http://com/de/")]
     got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "cast(null as string) as html")).collect()}
     assert got == {1: ("example.org/en/1", "block"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: ("org/", "allow"), 5: ("com/de/", "block")}
+
+
+def test_relative_targets_carry_blocks(spark):
+    moved = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    rows = [
+        ("http://a.net/dir/p", moved("next.html")), ("http://a.net/dir/next.html", '<link rel="canonical" href="../x/./y?q=http://no.net">'), ("http://a.net/x/y?q=http://no.net", moved("?p=1")),
+        ("http://a.net/x/y?p=1", moved("../../../up/")), ("http://a.net/up", moved("/k/../de")), ("http://a.net/de", moved("http://b.com/de/1")), ("http://root.net", moved("in")), ("http://root.net/in", moved("http://b.com/de/1")),
+        ("http://free.net/a", moved("mailto:x@b.com")), ("http://free.net/b?q=1", moved("#part")),
+        *[(f"http://chain.net/d/{i}", moved(f"./{i + 1}")) for i in range(60)], ("http://chain.net/d/60", moved("//b.com/de/2")),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
+    assert [got[i] for i in range(8)] == ["block"] * 8 and got[8] == got[9] == "allow" and [got[i] for i in range(10, 71)] == ["block"] * 61
+    assert sorted(tuple(r) for r in urlfilter.alias_edges(pages.where("page_id in (8, 9)")).collect()) == []

@@ -49,22 +49,39 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def _resolved(target: Column, path: Column) -> Column:
+    """Path and query of a relative target on a page with this path."""
+    own, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "(?s)^.*/", 0)).otherwise("/")
+    full = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(full, "/")
+    plain = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    return F.concat(F.when(own == "", path).otherwise(plain), rest)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) addresses of each page's canonical links and meta redirects.
 
-    A target that begins with ``/`` is taken on the page's own host, one with ``//`` or a scheme
-    as it stands; other relative targets are not followed.
+    A target with ``//`` or a scheme is taken as it stands, a relative one on the page's own host
+    and path, dot segments removed. ORACLE follows of the relative ones only those that begin with
+    ``/``, and removes no dot segments. A ``base`` tag is not read.
     """
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tag = with_address(pages.select("url", "html"), "url").select("host", "node", F.explode(tags).alias("tag")).where("node is not null")
+    tag = with_address(pages.select("url", "html"), "url").select("host", "path", "node", F.explode(tags).alias("tag")).where("node is not null")
     canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
     refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
     href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     moved = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     tag = tag.withColumn("t", F.when(canonical, href).when(refresh, moved)).where("t <> ''")
-    tag = tag.select("host", "node", F.replace("t", F.lit("&amp;"), F.lit("&")).alias("t")).distinct()
+    tag = tag.select("host", "path", "node", F.replace("t", F.lit("&amp;"), F.lit("&")).alias("t")).distinct()
     target = F.when(F.startswith("t", F.lit("//")), F.concat(F.lit("http:"), "t"))
-    target = target.when(F.startswith("t", F.lit("/")), F.concat(F.lit("http://"), "host", "t")).otherwise(F.col("t"))
+    target = target.when(F.col("t").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("t"))
+    target = target.when(~F.startswith("t", F.lit("#")), F.concat(F.lit("http://"), "host", _resolved(F.col("t"), F.col("path"))))
     edges = with_address(tag.select(F.col("node").alias("src"), target.alias("target")), "target").select("src", F.col("node").alias("dst"))
     # stored before the filter, which would otherwise be expanded through every step above
     return stored(edges.distinct(), "aliases").where("src is not null and dst is not null and src <> dst")
