@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.common import odd_documents
@@ -73,6 +75,47 @@ def test_equals_brute_force(spark):
         assert {got[d].n_shingles} == n and got[d].component_id == c and got[d].kept == (d == c), d
 
 
+def test_large_group_around_the_threshold(spark):
+    """3,000 near copies of one text, of which many are no links of each other, against all pairs by matrix product."""
+    rng = np.random.RandomState(3)
+    base = rng.randint(0, 5000, 150)
+    rows = []
+    for k in range(3000):
+        text = base.copy()
+        at = rng.rand(len(base)) < rng.choice([0.004, 0.012, 0.02])
+        text[at] = rng.randint(0, 5000, at.sum())
+        rows.append((k, " ".join(f"w{w}" for w in text)))
+    sets = [sorted(shingles(t)) for _, t in rows]
+    counts = Counter(s for x in sets for s in x)
+    code = {s: i for i, s in enumerate(sorted(s for s, n in counts.items() if n > 1))}  # others are in no intersection
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    held = [np.array([code[s] for s in x if s in code], int) for x in sets]
+    for low in range(0, len(code), 4096):
+        part = np.zeros((len(rows), 4096), np.float32)
+        for i, x in enumerate(held):
+            part[i, x[(x >= low) & (x < low + 4096)] - low] = 1
+        both += part @ part.T
+    size = np.array([len(x) for x in sets])
+    link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    want = np.arange(len(rows))
+    while True:
+        least = np.where(link, want[None, :], len(rows)).min(1)
+        if (least == want).all():
+            break
+        want = least
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    assert 1 < len(set(got.values())) < 1500
+
+
+def test_repeated_ids_with_other_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (5, one), (7, one + " c"), (9, two + " c"), (11, "d " * 9)]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
+
+
 def test_odd_rows(spark):
     got = near_duplicates(odd_documents(spark)).collect()
     assert len(got) == odd_documents(spark).count()

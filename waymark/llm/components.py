@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stored
+from waymark.llm.common import released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes are of any orderable type. Self-loops and repeated edges are allowed; edges with a
     null end are ignored; an empty input gives an empty result. Each round is a few joins and
-    aggregations; a hub's edges are never gathered in one place. Rounds grow with the logarithm
-    of the longest chain.
+    aggregations over pairs of nodes; a hub's least neighbour is found by partial aggregation, and
+    adaptive execution splits the join of a hub with many edges. Rounds grow with the logarithm
+    of the longest chain. The result is a stored table.
     """
     larger = F.greatest("src", "dst").alias("u")
     smaller = F.least("src", "dst").alias("v")
@@ -30,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         star = star.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(star, "edges")
+        before, now = now, stored(star, "edges")
+        released(before)
         last, mark = mark, _mark(now)
         if mark == last:
             break
@@ -38,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     alone = loops.select("node", F.col("node").alias("component"))
-    return out.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
+    out = stored(out.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component")), "components")
+    released(now)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

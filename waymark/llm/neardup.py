@@ -7,19 +7,19 @@
    (coordinate, value) pair. A pair of classes is a candidate when at least MATCHES coordinates
    agree, so a class needs only its rarest values, the prefix of COORDINATES - MATCHES + 1;
    values that one class alone holds take the first places and need no posting at all.
-3. Collisions are counted with skips. In each round every posting list offers only its leader
-   to the other members, each class keeps the leader it collides with most, and lists whose
-   members are connected already are skipped, so a list of thousands of near copies costs
-   about one pair per member and round. Then members that are still apart are compared, so that
-   no link between components is lost: short lists by counting all their collisions and then
-   all minima, long ones block by block on further minima without making a row of each pair,
-   first for the likeliest pairs and then, between what is still apart, for all.
-   Pairs that pass are confirmed on full sets.
-4. Components of the confirmed links give the groups.
+3. Collisions are counted with skips. First every posting list offers only its leader to the
+   other members and each class tries the leader it collides with most; lists whose members are
+   connected by that are skipped, so a list of near copies costs about one pair per member.
+4. Lists that still hold several components, of any length, are merged block by block: a task
+   holds two blocks of a list, counts the collisions of their members on whole signatures, skips
+   pairs that are connected already and confirms the others on full sets. It yields only the
+   links that connect something new, fewer than it has members: no pair becomes a row.
+5. Components of the confirmed links give the groups.
 
 The exact rule is 100 * intersection >= percent * union. A link at similarity 0.75 agrees in
-12.7 of 40 coordinates on average, in fewer than 2 with a probability of 5e-6, and in fewer than
-AGREE of its 160 minima (120 on average) with one of 1e-6.
+12.7 of 40 coordinates on average and in fewer than MATCHES with a probability of 5e-6; such a
+pair has a posting in common that both prefixes keep, since both leave out the commonest value
+in one order that all classes share. What is found doesn't depend on the order of the links.
 """
 
 from __future__ import annotations
@@ -32,27 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import over_arrow, small, stored
+from waymark.llm.common import over_arrow, released, small, stored
 from waymark.llm.components import components
-from waymark.llm.textkernel import mix, shingle_sets
+from waymark.llm.textkernel import gather, mix, shingle_sets
 
 COORDINATES = 40
 WIDTH = 4
 MATCHES = 2
-AGREE = 92
 MINIMA = COORDINATES * WIDTH
 _random = np.random.RandomState(20240607)
 _FACTORS = (_random.randint(0, 1 << 31, MINIMA).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = _random.randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
-#: Lists of up to this many classes are joined; longer ones are compared block by block on FINE
-#: further minima, of which a link at similarity 0.75 shares fewer than FINE_AGREE (480 on
-#: average) with a probability of 1e-6.
-SHORT_LIST = 32
+#: Bounds of a block of a posting list, on average: members, and shingles of all their sets.
 BLOCK = 1024
-FINE = 640
-FINE_AGREE = 426
-_FINE_FACTORS = (_random.randint(0, 1 << 31, FINE).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_FINE_SHIFTS = _random.randint(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
+BLOCK_SHINGLES = 1 << 20
+#: Likeliest partners of a member that are confirmed before all its others.
+FIRST = 8
 
 
 def signatures(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -67,12 +62,21 @@ def signatures(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def coordinates(marks: np.ndarray) -> np.ndarray:
+    """The (coordinate, value) pairs of signatures, as one 64-bit number each."""
+    wide = marks.reshape(len(marks), COORDINATES, WIDTH).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, COORDINATES + 1, dtype=np.uint64), wide.shape[:2]).copy()
+    for i in range(WIDTH):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, i])
+    return out.view(np.int64)
+
+
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set), signature (bytes)."""
+    """doc_id, n_shingles, set_key (128-bit digest of the set), signature (bytes of its coordinates)."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, offs = shingle_sets(batch.column("text"), size)
-        marks = signatures(sets, offs)
+        marks = coordinates(signatures(sets, offs))
         keys = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(keys, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())],
@@ -82,15 +86,6 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return over_arrow(docs.select("doc_id", "text"), sketch, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def coordinates(marks: np.ndarray) -> np.ndarray:
-    """The (coordinate, value) pairs of signatures, as one 64-bit number each."""
-    wide = marks.reshape(len(marks), COORDINATES, WIDTH).astype(np.uint64)
-    out = np.broadcast_to(np.arange(1, COORDINATES + 1, dtype=np.uint64), wide.shape[:2]).copy()
-    for i in range(WIDTH):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, i])
-    return out.view(np.int64)
-
-
 def posted(classes: DataFrame) -> DataFrame:
     """Prefix postings (posting, doc, n, weight) of the classes (doc, n, signature).
 
@@ -102,9 +97,9 @@ def posted(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                marks = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, MINIMA)
+                values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.int64)
                 doc, n = (np.repeat(part.column(c).to_numpy(), COORDINATES) for c in ("doc", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(coordinates(marks).ravel()), pa.array(doc), pa.array(n)], ["posting", "doc", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(doc), pa.array(n)], ["posting", "doc", "n"])
 
     every = classes.select("doc", "n", "signature").mapInArrow(spread, "posting long, doc long, n long")
     shared = every.groupBy("posting").agg(F.count("*").alias("held")).where("held > 1")
@@ -116,22 +111,6 @@ def posted(classes: DataFrame) -> DataFrame:
     return mine.select(F.col("s.posting").alias("posting"), "doc", "n", "weight")
 
 
-def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) with at least AGREE equal minima."""
-    one = marks.select(F.col("doc").alias("a"), F.col("signature").alias("sa"))
-    two = marks.select(F.col("doc").alias("b"), F.col("signature").alias("sb"))
-
-    def count(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("sa", "sb"))
-            keep = pa.array((x == y).sum(1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
-
-    return pairs.join(one, "a").join(two, "b").mapInArrow(count, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of the pairs (a, b) that meet the rule on their full sets."""
     one = sets.select(F.col("doc").alias("a"), F.col("items").alias("ia"))
@@ -152,17 +131,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "src long, dst long").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 3) -> DataFrame:
-    """Confirmed links (src, dst) that connect every group of near-duplicate classes."""
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 1) -> list[DataFrame]:
+    """Stored tables of confirmed links (src, dst) that connect every group of near-duplicate classes."""
     postings = stored(posted(classes), "postings")
     involved = stored(postings.select("doc").distinct(), "involved")
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(small(involved), "doc", "left_semi")
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         items, offs = shingle_sets(batch.column("text"), size)
-        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([items[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])], pa.binary())], ["doc", "items"])
-
-    sets = stored(over_arrow(texts, collect, "doc long, items binary"), "sets")
+        each = pa.array([items[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(offs)), each], ["doc", "n", "items"])
+
+    sets = stored(over_arrow(texts, collect, "doc long, n long, items binary"), "sets")
+    again = sets.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not again.isEmpty():  # rows that repeat a doc_id
+        once, sets = sets, stored(sets.dropDuplicates(), "sets")
+        released(once)
     found: list[DataFrame] = []
     lists = postings.withColumn("grp", F.col("doc"))
     for turn in range(rounds):
@@ -175,109 +159,131 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
         counted = met.groupBy("doc", F.col("lead.doc").alias("leader")).agg(F.count("*").alias("collisions"))
         best = counted.groupBy("doc").agg(F.max(F.struct("collisions", "leader")).alias("p"))
         best = best.select(F.least("doc", "p.leader").alias("a"), F.greatest("doc", "p.leader").alias("b")).distinct()
-        got = stored(_confirmed(best, sets, percent), "links")
-        if got.isEmpty():
-            break
-        found.append(got)
+        found.append(stored(_confirmed(best, sets, percent), "links"))
         groups = components(reduce(DataFrame.unionByName, found))
         lists = stored(_grouped(postings, groups), "lists")
-    _, long = _open_lists(lists)
-    marks = stored(_marked(long, sets), "marks")
-    got = stored(_confirmed(_long_pairs(long, marks, percent, best=True), sets, percent), "links")
-    found.append(got)
-    if not got.isEmpty():
-        lists = stored(_grouped(postings, components(reduce(DataFrame.unionByName, found))), "lists")
-    short, long = _open_lists(lists)
-    pairs = _agreeing(_short_pairs(short, percent), classes.select("doc", "signature")).unionByName(_long_pairs(long, marks, percent)).distinct()
-    found.append(stored(_confirmed(stored(pairs, "pairs"), sets, percent), "links"))
-    return reduce(DataFrame.unionByName, found)
+        released(postings, groups)
+        postings = lists.drop("grp")
+    members = stored(_open_members(lists), "open")
+    rows = members.join(classes.select("doc", "n", "signature"), ["doc", "n"]).join(sets, ["doc", "n"])
+    found.append(stored(_merged(rows, percent), "links"))
+    released(lists, involved, sets, members)
+    return found
 
 
 def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    grp = F.coalesce("component", "doc").alias("grp")
-    return postings.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select("posting", "doc", "n", "weight", grp)
+    """The lists that still hold several components, with the component of each member (``grp``)."""
+    every = postings.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("grp")), "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
+    mixed = every.groupBy("posting").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    return every.join(mixed.select("posting"), "posting").select("posting", "doc", "n", "weight", "grp")
 
 
-def _open_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists of more than one component, the short ones and the long ones: posting, doc, n, grp, main, total, others.
+def _open_members(lists: DataFrame) -> DataFrame:
+    """Members of open lists by blocks: posting, i, j, side, doc, n, grp, main.
 
-    Members of a list's largest component (``main``) need to meet only the ``others``.
+    Members of a list's largest component (``main``) need to meet only the others. Block i of all
+    members (side 0) meets block j of the others (side 1); a list of one block has each member
+    once, the others with side 2 for both.
     """
-    per = lists.groupBy("posting", "grp").agg(F.count("*").alias("k"))
-    main = per.groupBy("posting").agg(F.max(F.struct("k", "grp")).alias("m"), F.sum("k").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    main = main.select("posting", F.col("m.grp").alias("main"), "total", (F.col("total") - F.col("m.k")).alias("others"))
-    both = stored(lists.select("posting", "doc", "n", "grp").join(main, "posting"), "open")
-    return both.where(F.col("total") <= SHORT_LIST), both.where(F.col("total") > SHORT_LIST)
+    per = lists.groupBy("posting", "grp").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    main = per.groupBy("posting").agg(F.max(F.struct("k", "grp", "size")).alias("m"), F.sum("k").alias("k"), F.sum("size").alias("size"))
+
+    def blocks(members, shingles):
+        return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+    main = main.select("posting", F.col("m.grp").alias("main"), blocks(F.col("k"), F.col("size")).alias("across"), blocks(F.col("k") - F.col("m.k"), F.col("size") - F.col("m.size")).alias("down"))
+    every = lists.join(main, "posting")
+    other = F.col("grp") != F.col("main")
+    i, j = (F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(count)).cast("int") for salt, count in ((0, "across"), (1, "down")))
+    to = F.sequence(F.lit(0), F.col("down") - 1)
+    left = F.transform(to, lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    right = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(other, 2).otherwise(0).alias("side")))
+    where = F.when((F.col("across") == 1) & (F.col("down") == 1), one).when(other, F.concat(left, right)).otherwise(left)
+    return every.select("posting", F.explode(where).alias("at"), "doc", "n", "grp", "main").select("posting", "at.*", "doc", "n", "grp", "main")
+
+
+class Block:
+    """Two blocks of a posting list: members with groups, coordinates and full sets."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.doc, self.grp, self.n, self.side = (table.column(c).to_numpy() for c in ("doc", "grp", "n", "side"))
+        self.main = table.column("main")[0].as_py()
+        self.values = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.int64).reshape(-1, COORDINATES)
+        flat = np.frombuffer(b"".join(table.column("items").to_pylist()), np.uint64)
+        shown, self.items = np.unique(flat, return_inverse=True)
+        self.start = np.cumsum(self.n) - self.n
+        self.marked = np.zeros(len(shown), bool)
+
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of x's set with the others'."""
+        mine = self.items[self.start[x] : self.start[x] + self.n[x]]
+        self.marked[mine] = True
+        size = self.n[others]
+        got = np.add.reduceat(self.marked[gather(self.items, self.start[others], size)].astype(np.int64), np.cumsum(size) - size)
+        self.marked[mine] = False
+        return got
+
+    def forest(self, percent: int) -> list[tuple[int, int]]:
+        """Links between members of different groups, each connecting two groups that were apart."""
+        _, group = np.unique(self.grp, return_inverse=True)
+        main = self.grp == self.main
+        left, found = np.flatnonzero(self.side != 1), []
+        for x in np.flatnonzero(self.side != 0):
+            n, nx = self.n[left], self.n[x]
+            may = (group[left] != group[x]) & (main[left] | (self.doc[left] < self.doc[x])) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
+            others = left[may]
+            if not len(others):
+                continue
+            collisions = (self.values[others] == self.values[x]).sum(1)
+            likely = np.argsort(-collisions, kind="stable")
+            others = others[likely[: int((collisions >= MATCHES).sum())]]
+            for part in (others[:FIRST], others[FIRST:]):
+                part = part[group[part] != group[x]]
+                if not len(part):
+                    continue
+                both = self.shared(x, part)
+                for y in part[100 * both >= percent * (self.n[part] + nx - both)].tolist():
+                    if group[y] != group[x]:
+                        found.append((int(self.doc[y]), int(self.doc[x])))
+                        group[group == group[y]] = group[x]
+        return found
 
 
-def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that collide in MATCHES short lists or more.
+def _merged(rows: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): confirmed links between components, a spanning forest for each two blocks."""
+    keys = ["posting", "i", "j"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
-    Pairs whose sizes rule a link out are skipped. A pair that also collides in a long list is
-    found there.
-    """
-    minor = lists.where("grp <> main").select("posting", F.col("doc").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"))
-    met = lists.join(minor, "posting").where(f"grp <> gx and (grp = main or doc < x) and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-    pairs = met.groupBy(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).agg(F.count("*").alias("k"))
-    return pairs.where(F.col("k") >= MATCHES).select("a", "b")
-
-
-def fine_marks(items: np.ndarray) -> np.ndarray:
-    """Lowest bytes of FINE further minima of one set."""
-    low = (items & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out = np.empty(FINE, np.uint8)
-    few = max(1, min(FINE, (1 << 20) // max(len(low), 1)))  # a long set is taken with a few functions at a time
-    for a in range(0, FINE, few):
-        out[a : a + few] = (low[:, None] * _FINE_FACTORS[a : a + few] + _FINE_SHIFTS[a : a + few]).min(0) & np.uint32(0xFF)
-    return out
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last: tuple = ()
 
+        def links_of(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+            table = pa.Table.from_batches(parts)
+            return Block(table).forest(percent) if table.num_rows > 1 else []
 
-def _marked(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc and fine_marks() of the classes in the lists."""
+        def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
-    def mark(batches):
         for batch in batches:
-            marks = [fine_marks(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column("items")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(marks, pa.binary())], ["doc", "marks"])
-
-    return sets.join(lists.select("doc").distinct(), "doc", "left_semi").mapInArrow(mark, "doc long, marks binary")
-
-
-def _long_pairs(lists: DataFrame, marks: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components in long lists with at least FINE_AGREE equal marks.
-
-    A list is cut into blocks of its members and of those outside its main component; a task
-    holds one block of each and yields only the pairs that pass, so no list is gathered whole
-    and no pair that fails becomes a row. Equal low bytes never lose an equal minimum. ``best``
-    yields only the two likeliest of each member and block, one in the main component: most
-    members are connected by these, and few are left for the pass over all pairs.
-    """
-    marked = lists.join(marks, "doc")
-    across, down = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
-    names = ["posting", "doc", "n", "grp", "main", "marks"]
-    left = marked.select(*names, F.pmod(F.xxhash64("doc"), across).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
-    right = marked.where("grp <> main").select(*names, F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(F.xxhash64("doc", F.lit(1)), down).cast("int").alias("j"))
-    right = right.toDF(*[f"{c}_r" for c in right.columns])
-
-    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
-        a, b = [], []
-        if one.num_rows and two.num_rows:
-            doc, n, grp, main = (one.column(c).to_numpy() for c in ("doc", "n", "grp", "main"))
-            table = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, FINE)
-            for x, nx, gx, mx in zip(*(two.column(f"{c}_r").to_pylist() for c in ("doc", "n", "grp", "marks"))):
-                may = (grp != gx) & ((grp == main) | (doc < x)) & (100 * np.minimum(n, nx) >= percent * np.maximum(n, nx))
-                at = np.flatnonzero(may)
-                equal = (table[at] == np.frombuffer(mx, np.uint8)).sum(1)
-                at, equal = at[equal >= FINE_AGREE], equal[equal >= FINE_AGREE]
-                if best and len(at):
-                    inside = grp[at] == main[at]
-                    at = np.array([at[k][equal[k].argmax()] for k in (inside, ~inside) if k.any()])
-                a += np.minimum(doc[at], x).tolist()
-                b += np.maximum(doc[at], x).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    keys = ["posting", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_r" for c in keys])).applyInArrow(compare, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            out: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and tuple(key[a]) != last:
+                    out += links_of(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+            if out:
+                yield table(out)
+        if held:
+            yield table(links_of(held))
+
+    return dealt.select(*keys, "side", "doc", "n", "grp", "main", "signature", "items").mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -296,10 +302,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     owners = rows.where("n_shingles > 0").select("set_key", F.col("doc_id").alias("dst"))
     ties = owners.join(owners.groupBy("dst").agg(F.countDistinct("set_key").alias("n")).where("n > 1"), "dst")
     ties = ties.join(classes.select("set_key", F.col("doc").alias("src")), "set_key").select("src", "dst")
-    groups = components(found.unionByName(ties))
+    groups = components(reduce(DataFrame.unionByName, [*found, ties]))
     named = classes.select("set_key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("set_key", F.coalesce("component", "doc").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = stored(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "groups")
+    released(rows, classes, *found, groups)
+    return out

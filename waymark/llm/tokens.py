@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from waymark.llm.common import over_arrow, text_buffer
+from waymark.llm.textkernel import gather
 
 #: Encoded pieces that a Python worker remembers between blocks.
 PIECES = 500_000
@@ -75,13 +76,6 @@ class _Memory:
         return [known[u] for u in units]
 
 
-def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The pieces flat[start : start + length], end to end."""
-    total = int(length.sum())
-    before = np.cumsum(length) - length
-    return flat[np.repeat(start - before, length) + np.arange(total)]
-
-
 #: Classes of the bytes of common Latin texts (ASCII, U+00A1 to U+017F): letters, digits, other
 #: marks, space, line feed, further bytes of a character. A text with any other byte is odd.
 _LETTER, _DIGIT, _MARK, _BLANK, _FEED, _MORE, _ODD = range(7)

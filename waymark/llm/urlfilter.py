@@ -96,7 +96,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = with_address(pages.select("page_id", "url"), "url")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("action", action)
-    groups = stored(components(alias_edges(pages.select("url", "html"))), "aliases")
+    groups = components(alias_edges(pages.select("url", "html")))
     nodes = groups.withColumn("host", F.regexp_extract("node", "^[^/?]*", 0)).withColumn("path", F.concat(F.regexp_extract("node", "^[^/?]*([^?]*)", 1), F.lit("/")))
     # an address keeps no closing slash, so rules see its path with one
     said = nodes.select("component", rule_of(F.col("host"), F.col("path"), rules)[1].alias("said")).where("said is not null").groupBy("component")
