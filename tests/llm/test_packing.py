@@ -45,6 +45,36 @@ def test_best_fit_equals_the_plain_algorithm():
         assert sum(c for _, c in packing.best_fit_decreasing(have, 64)) == len(rooms)
 
 
+def test_each_window_has_least_slack_of_all_choices():
+    """Each window of the plan is as full as the best of all multisets that hold its longest piece."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        have = {n: rng.randint(1, 3) for n in rng.sample(range(3, 41), 7)}
+        left = dict(have)
+        for pattern, copies in packing.min_bin_slack(have, 40):
+            for _ in range(copies):
+                longest = max(n for n, c in left.items() if c)
+                sums = {0}
+                for n, c in left.items():
+                    c -= n == longest
+                    sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= 40 - longest}
+                assert pattern[0][0] == longest and sum(n * k for n, k in pattern) == longest + max(sums), (seed, pattern)
+                for n, k in pattern:
+                    left[n] -= k
+                    assert left[n] >= 0
+        assert not any(left.values())
+
+
+def test_special_tokens_that_texts_spell_out(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|> a", "no <|startoftext|> <|endoftext|><|endoftext|>", "<|other|>"]
+    lib = Tokenizer.from_file(WORDS)
+    got = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect()
+    want = [[*lib.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert {(r.doc_id, r.doc_tokens, r.ids_crc32) for r in got} == {(i, len(x), zlib.crc32(np.array(x, "<u4"))) for i, x in enumerate(want)}
+
+
 def test_first_window_has_least_slack():
     have = {30: 1, 21: 1, 13: 3, 8: 1}
     pattern, _ = packing.min_bin_slack(have, 64)[0]

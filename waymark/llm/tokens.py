@@ -9,11 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from waymark.llm.common import over_arrow, text_buffer
@@ -33,9 +35,10 @@ def _library():
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
+def _tokenizer(path: str, special: bool = False):
+    """The library's tokenizer; ``special`` lets a special token that a text spells out count as one."""
     tokenizer = _library().Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return tokenizer
 
 
@@ -100,8 +103,12 @@ class ByteLevel:
     gathered by piece. All other texts go through the whole tokenizer.
     """
 
+    SPECIAL = False
+
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = _tokenizer(path, self.SPECIAL)
+        spelt = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if self.SPECIAL else []
+        self.special = "|".join(map(re.escape, spelt))
         self.pieces = _Memory(self._encode_pieces, PIECES)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
@@ -180,6 +187,8 @@ class ByteLevel:
             at = np.flatnonzero(raw[:-1] == first)
             bad[at[np.isin(raw[at + 1], seconds)]] = True
         plain = np.ones(n, bool)
+        if self.special:
+            plain = ~pc.match_substring_regex(column, self.special, ignore_case=True).to_numpy(zero_copy_only=False)
         plain[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = False
         if plain.all():
             return self._plain_ids(raw, kind, offs)
@@ -194,9 +203,12 @@ class ByteLevel:
 
 
 class WordLevel(ByteLevel):
-    """Ids of the lower-casing word BPE, which drops white space and takes digits singly."""
+    """Ids of the lower-casing word BPE, which drops white space and takes digits singly.
+
+    As in the library's own encoding, a special token that a text spells out is one id.
+    """
 
-    LOWER = True
+    LOWER, SPECIAL = True, True
 
     def _odd(self, raw: np.ndarray, kind: np.ndarray, edge: np.ndarray) -> np.ndarray:
         return kind == _ODD
@@ -236,14 +248,18 @@ def decode_pieces(ids: np.ndarray, path: str) -> list[str]:
     return pieces
 
 
+@lru_cache(maxsize=4)
+def byte_lengths(path: str) -> np.ndarray:
+    return np.array([len(x) for x in byte_table(path)], np.int64)
+
+
 def character_ends(ids: np.ndarray, raw: np.ndarray, path: str) -> np.ndarray:
     """For each id the number of characters of the text begun when it ends.
 
     An id that ends inside a character counts that character, so spans of ids that share a
     split character overlap in it.
     """
-    table = byte_table(path)
-    ends = np.cumsum([len(table[i]) for i in ids.tolist()], dtype=np.int64)
+    ends = np.cumsum(byte_lengths(path)[ids])
     return np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][ends] if len(ids) else ends
 
 
@@ -282,18 +298,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text and decodes its ids.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ends_sha256: encodes each whole text and decodes its ids.
 
-    Null and empty texts have no tokens and the digests of no bytes.
+    ``ends_sha256`` is the digest of character_ends() as little-endian unsigned 32-bit integers.
+    Null and empty texts have no tokens and the digests of no bytes; a text of any length is one
+    row; repeated rows give repeated rows; other columns of ``docs`` are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, offs = encoder(path).ids(batch.column("text"))
+        raw, at = text_buffer(batch.column("text"))
         ids = ids.astype("<u4")
-        one, two = [], []
-        for a, b in zip(offs[:-1], offs[1:]):
-            one.append(hashlib.sha256(ids[a:b]).hexdigest())
-            two.append(hashlib.sha256(decode_bytes(ids[a:b], path)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        digests: list[list[str]] = [[], [], []]
+        for a, b, c, d in zip(offs[:-1], offs[1:], at[:-1], at[1:]):
+            ends = character_ends(ids[a:b], raw[c:d], path).astype("<u4")
+            for held, data in zip(digests, (ids[a:b], decode_bytes(ids[a:b], path), ends)):
+                held.append(hashlib.sha256(data).hexdigest())
+        names = ["ids_sha256", "decoded_sha256", "ends_sha256"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), *[pa.array(x, pa.string()) for x in digests]], ["doc_id", "n_tokens", *names])
+
+    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string")
