@@ -128,14 +128,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(ok))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "src long, dst long").distinct()
+    return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "src long, dst long")
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds: int = 1) -> list[DataFrame]:
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> list[DataFrame]:
     """Stored tables of confirmed links (src, dst) that connect every group of near-duplicate classes."""
     postings = stored(posted(classes), "postings")
     involved = stored(postings.select("doc").distinct(), "involved")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(small(involved), "doc", "left_semi")
+    classes_in = involved.count()
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(small(involved, classes_in), "doc", "left_semi")
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         items, offs = shingle_sets(batch.column("text"), size)
@@ -143,39 +144,38 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, rounds:
         return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(offs)), each], ["doc", "n", "items"])
 
     sets = stored(over_arrow(texts, collect, "doc long, n long, items binary"), "sets")
-    again = sets.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1")
-    if not again.isEmpty():  # rows that repeat a doc_id
+    if sets.count() > classes_in:  # rows that repeat a doc_id
         once, sets = sets, stored(sets.dropDuplicates(), "sets")
         released(once)
-    found: list[DataFrame] = []
-    lists = postings.withColumn("grp", F.col("doc"))
-    for turn in range(rounds):
-        # the text in the middle leads first, then any
-        order = F.xxhash64("doc", F.lit(turn)) if turn else -F.col("weight")
-        lead = F.min(F.struct(order.alias("h"), "doc", "grp")).alias("lead")
-        # lists that hold more than one component may still connect something
-        mixed = lists.groupBy("posting").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), lead).where("low <> high")
-        met = lists.join(mixed.select("posting", "lead"), "posting").where("grp <> lead.grp")
-        counted = met.groupBy("doc", F.col("lead.doc").alias("leader")).agg(F.count("*").alias("collisions"))
-        best = counted.groupBy("doc").agg(F.max(F.struct("collisions", "leader")).alias("p"))
-        best = best.select(F.least("doc", "p.leader").alias("a"), F.greatest("doc", "p.leader").alias("b")).distinct()
-        found.append(stored(_confirmed(best, sets, percent), "links"))
-        groups = components(reduce(DataFrame.unionByName, found))
-        lists = stored(_grouped(postings, groups), "lists")
-        released(postings, groups)
-        postings = lists.drop("grp")
+    # the text in the middle of a list leads it; its place comes before all members' in one order of all classes
+    lead = F.min(F.struct((-F.col("weight")).alias("h"), "doc")).alias("lead")
+    met = postings.join(postings.groupBy("posting").agg(lead), "posting").where("doc <> lead.doc").repartition("doc")
+    counted = met.groupBy("doc", F.col("lead.doc").alias("leader")).agg(F.count("*").alias("collisions"))
+    best = counted.groupBy("doc").agg(F.max(F.struct("collisions", "leader")).alias("p")).select(F.col("doc").alias("a"), F.col("p.leader").alias("b"))
+    first = stored(_confirmed(best, sets, percent), "links")
+    lists = _grouped(postings, first)
     members = stored(_open_members(lists), "open")
+    released(lists, postings)
     rows = members.join(classes.select("doc", "n", "signature"), ["doc", "n"]).join(sets, ["doc", "n"])
-    found.append(stored(_merged(rows, percent), "links"))
-    released(lists, involved, sets, members)
+    found = [first, stored(_merged(rows, percent), "links")]
+    released(involved, sets, members)
     return found
 
 
-def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """The lists that still hold several components, with the component of each member (``grp``)."""
-    every = postings.join(groups.select(F.col("node").alias("doc"), F.col("component").alias("grp")), "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
+def _grouped(postings: DataFrame, first: DataFrame) -> DataFrame:
+    """Stored lists that still hold several groups, with the group of each member (``grp``).
+
+    Links to leaders form trees, since a leader comes first in one order of all classes; a
+    member's group is what its leader's leader hangs on, which is surely connected with it.
+    """
+    up = first.select(F.col("src").alias("doc"), F.col("dst").alias("grp"))
+    top = up.select(F.col("doc").alias("grp"), F.col("grp").alias("top"))
+    root = stored(up.join(top, "grp", "left").select("doc", F.coalesce("top", "grp").alias("grp")).groupBy("doc").agg(F.min("grp").alias("grp")), "roots")
+    every = postings.join(root, "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
     mixed = every.groupBy("posting").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    return every.join(mixed.select("posting"), "posting").select("posting", "doc", "n", "weight", "grp")
+    lists = stored(every.join(mixed.select("posting"), "posting").select("posting", "doc", "n", "grp"), "lists")
+    released(root)
+    return lists
 
 
 def _open_members(lists: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _merged(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield table(links_of(held))
 
-    return dealt.select(*keys, "side", "doc", "n", "grp", "main", "signature", "items").mapInArrow(run, "src long, dst long").distinct()
+    return dealt.select(*keys, "side", "doc", "n", "grp", "main", "signature", "items").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -299,15 +299,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     classes = stored(classes, "classes")
     found = links(docs, classes, size, percent)
     # rows of one doc_id with several texts tie their classes together
-    owners = rows.where("n_shingles > 0").select("set_key", F.col("doc_id").alias("dst"))
-    ties = owners.join(owners.groupBy("dst").agg(F.countDistinct("set_key").alias("n")).where("n > 1"), "dst")
-    ties = ties.join(classes.select("set_key", F.col("doc").alias("src")), "set_key").select("src", "dst")
-    groups = components(reduce(DataFrame.unionByName, [*found, ties]))
+    held = rows.where("n_shingles > 0 and doc_id is not null")
+    twice = stored(held.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("doc_id"), "twice")
+    n = twice.count()
+    edges = reduce(DataFrame.unionByName, found)
+    if n:
+        ties = held.join(small(twice, n), "doc_id").select("set_key", F.col("doc_id").alias("dst"))
+        edges = edges.unionByName(ties.join(classes.select("set_key", F.col("doc").alias("src")), "set_key").select("src", "dst"))
+    groups = components(edges, native=False)
     named = classes.select("set_key", "doc").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("set_key", F.coalesce("component", "doc").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
     out = stored(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "groups")
-    released(rows, classes, *found, groups)
+    released(rows, classes, twice, *found, groups)
     return out

@@ -222,7 +222,7 @@ def with_copies(rows: DataFrame) -> DataFrame:
     texts = rows.select("text", "toxic", F.xxhash64("text").alias("id")).distinct()
     held = stored(texts.select("text", "id").dropDuplicates(["id"]).mapInArrow(keys, "id long, key long"), "copies")
     first = held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = components(held.join(first, "key").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct())
+    groups = components(held.join(first, "key").select(F.col("id").alias("src"), F.col("first").alias("dst")), native=False)
     return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "copy_of")
 
 
