@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import read_table, stored
+from waymark.llm.common import read_table, small, stored
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -32,11 +32,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without a doc_id all stay."""
+    """One document of each group of near duplicates; rows without a doc_id all stay.
+
+    Of rows that repeat a doc_id one stays, chosen by a hash of the row.
+    """
     from waymark.llm.neardup import near_duplicates as grouped
 
-    gone = grouped(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = grouped(docs)
+    gone = groups.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
+    n = again.count()
+    if not n:
+        return left
+    row = F.struct(*[left[c] for c in left.columns])
+    repeated = left.join(small(again, n), "doc_id", "left_semi").select("doc_id", row.alias("row"), F.xxhash64(row).alias("hash"))
+    one = repeated.groupBy("doc_id").agg(F.min_by("row", "hash").alias("row"))
+    return left.join(small(again, n), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,22 @@ def test_stages(spark):
     assert found[0] == 0 and found[1] == 0
     pieces = pipeline.packing(spark, clean, FOLDER)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_stages_take_odd_rows(spark):
+    from tests.llm.common import odd_documents
+
+    docs = odd_documents(spark)
+    for name, stage in pipeline.STAGES:
+        for part in (docs, docs.limit(0)):
+            got = stage(spark, part, FOLDER)
+            if name == "packing":
+                assert got.where("start = 0").count() == part.count()
+            else:
+                assert got.columns == docs.columns and got.dtypes == docs.dtypes and got.count() <= part.count(), name
+
+
+def test_repeated_ids_leave_one_row(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words than those of the first"), (None, "x"), (None, "x")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x"), (0, "x"), (1, "a b c d e f"), (3, "other words than those of the first")]

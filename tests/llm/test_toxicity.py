@@ -103,3 +103,19 @@ def test_automaton_equals_edit_distance_on_short_entries():
             word[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("acmnorsu")])
         word = "".join(word)
         assert trie.misspelt(word) == any(distance(word, e) <= 1 for e in entries), word
+
+
+def test_filter_passes_all_that_the_automaton_finds():
+    rng = random.Random(6)
+    trie = toxicity.Trie(["scum", "moron", "grublexian"], ["snarf", "blorbo"], frozenset())
+    words = []
+    for _ in range(6000):
+        word = list(rng.choice(["scum", "moron", "grublexian", "snarfels", "blorbos", "plain", "blorb"]))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(word) + 1)
+            word[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("acmnorsu0@1é")])
+        words.append("".join(word))
+    words += ["", "x" * 5000, "😀moron"]
+    passed = trie.filter.passes(words)
+    assert all(p for w, p in zip(words, passed) if trie.kind(w) or trie.near(w))
+    assert 100 < passed.sum() < len(words) - 100

@@ -8,6 +8,7 @@ abuse, and a logistic model over the hits of a text gives its score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import over_arrow, small, steps, stored
 from waymark.llm.components import components
 from waymark.llm.neardup import signatures
-from waymark.llm.textkernel import Words, mix, shingle_sets
+from waymark.llm.textkernel import Words, gather, mix, shingle_sets
 
 #: A term needs this many labelled toxic texts that are no copies of each other. No bound grows with the corpus.
 MIN_TEXTS = 3
@@ -33,7 +34,7 @@ STEM_LENGTHS = range(4, 8)
 FUZZY_LENGTH = 6
 #: Forms whose kind a trie remembers.
 REMEMBERED = 30_000
-#: Counted terms that a task holds at once.
+#: Counted terms that a task passes on at once.
 HELD_TERMS = 100_000
 #: Characters that stand for letters they look like; 1, ! and | stand for two.
 _LOOKS = [str.maketrans("0345678@$1!|оаесрхуі", "oeasgtbas" + bar + "oaecpxyi") for bar in ("iii", "lll")]
@@ -45,6 +46,70 @@ _SAID = frozenset("said says say wrote writes called quoted quote cites reported
 _YOU = frozenset("you your you're u tu vous toi ton votre du dich dein sie ihr usted ustedes tú te".split())
 
 
+_LOOKED = re.compile(f"[{re.escape(''.join(map(chr, _LOOKS[0])))}]")
+#: Characters of the words that a filter step holds at once.
+FILTERED = 1 << 21
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings (rows of characters) as they are and without each of their characters."""
+    n = codes.shape[1]
+    powers = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64))
+    here = np.cumsum((codes + np.uint64(1)) * powers[1:], axis=1)
+    moved = np.cumsum((codes + np.uint64(1)) * powers[:-1], axis=1)  # each character one place earlier
+    cut = moved[:, -1:] - moved
+    cut[:, 1:] += here[:, :-1]
+    return mix(np.concatenate([here[:, -1:] + np.uint64(n), cut + np.uint64(n - 1)], 1))
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    return np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+
+
+class Filter:
+    """Which words can lie one edit away from entries, for many words at once.
+
+    Two strings one edit apart are equal, or one equals the other without a character, or both
+    are equal without one character each; hashes of those forms are compared. The automaton
+    decides on the few words that pass.
+    """
+
+    def __init__(self, words: Iterable[str], stems: Iterable[str]) -> None:
+        sets = []
+        for entries in (words, stems):
+            by_length: dict[int, list[str]] = {}
+            for e in entries:
+                by_length.setdefault(len(e), []).append(e)
+            forms = [_hashes(_codes(es, n)).ravel() for n, es in by_length.items()]
+            lengths = sorted({n + d for n in by_length for d in (-1, 0, 1)} - {0})
+            sets.append((lengths, np.unique(np.concatenate(forms)) if forms else np.zeros(0, np.uint64)))
+        (self.lengths, self.whole), (self.starts, self.stems) = sets
+        self.width = max([1, *self.lengths, *self.starts])
+
+    def passes(self, words: list[str]) -> np.ndarray:
+        rows, owner = list(words), list(range(len(words)))
+        for i, word in enumerate(words):
+            if _LOOKED.search(word):
+                for form in looks(word):
+                    rows.append(form)
+                    owner.append(i)
+        good = np.zeros(len(words), bool)
+        step = max(1, FILTERED // self.width)
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            size = np.fromiter(map(len, part), np.int64, len(part))
+            codes = _codes([r[: self.width] for r in part], self.width)
+            found = np.zeros(len(part), bool)
+            for known, n, here in [*((self.whole, n, size == n) for n in self.lengths), *((self.stems, n, size >= n) for n in self.starts)]:
+                at = np.flatnonzero(here & ~found)
+                if len(at) and len(known):
+                    forms = _hashes(codes[at, :n])
+                    near = known[np.minimum(np.searchsorted(known, forms), len(known) - 1)] == forms
+                    found[at[near.any(1)]] = True
+            good[np.array(owner[a : a + step], np.int64)[found]] = True
+        return good
+
+
 def looks(word: str) -> set[str]:
     """What a word with letters in it reads as when other characters stand for letters."""
     return {word.translate(t) for t in _LOOKS} - {word} if any(c.isalpha() for c in word) else set()
@@ -81,6 +146,7 @@ class Trie:
         self.blanks = {f"{e[:i]}\0{e[i + 1 :]}" for e in self.whole for i in range(len(e))}
         self.cuts = {e[:i] + e[i + 1 :] for e in self.whole for i in range(len(e))}
         self.starts = sorted({len(e) + d for e, stem in entries if stem for d in (-1, 0, 1)})
+        self.filter = Filter(self.words, self.stems)
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
@@ -168,37 +234,64 @@ class Trie:
                         stack.append((child, tuple(new), depth + 1))
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct trimmed lower-case words."""
-    return {w.strip(_EDGES).lower() for w in text.split()} - {""}
+def terms_of(words: list[str]) -> list[list[tuple[str, bool]]]:
+    """(term, is stem) of each word: the word itself and its beginnings."""
+    return [[(w, False)] * (len(w) > 2) + [(w[:n], True) for n in STEM_LENGTHS if len(w) >= n] for w in words]
 
 
-def terms_of(text: str) -> set[tuple[str, bool]]:
-    """Distinct (term, is stem) of a text: trimmed lower-case words and their beginnings."""
-    words = words_of(text)
-    return {(w, False) for w in words if 2 < len(w) <= 40} | {(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) >= n}
+def _counted(batch: pa.RecordBatch, terms: Callable[[list[str]], list[Iterable[tuple[str, bool]]]]) -> Iterable[pa.RecordBatch]:
+    """term, stem, toxic, copy_of, n of a block of texts: how many have each term."""
+    found = Words(batch.column("text"), lower=False)
+    if not len(found.begin):
+        return
+    code, forms = word_forms(found)
+    number: dict[str, int] = {}
+    word_of = np.array([number.setdefault(f.strip(_EDGES).lower(), len(number)) for f in forms], np.int64)
+    words = list(number)
+    text = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
+    text, word = np.divmod(np.unique(text * len(words) + word_of[code]), len(words))
+    known: dict[tuple[str, bool], int] = {}
+    each = [[known.setdefault(t, len(known)) for t in mine] for mine in terms(words)]
+    if not known:
+        return
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    flat = np.fromiter((t for mine in each for t in mine), np.int64, int(size.sum()))
+    term = gather(flat, (np.cumsum(size) - size)[word], size[word])
+    text, term = np.divmod(np.unique(np.repeat(text, size[word]) * len(known) + term), len(known))
+    groups = batch.column("copy_of").dictionary_encode()
+    group = groups.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+    toxic = batch.column("toxic").to_numpy().astype(np.int64)
+    many = 2 * (len(groups.dictionary) + 1)
+    key, n = np.unique(term * many + 2 * group[text] + toxic[text], return_counts=True)
+    term, rest = np.divmod(key, many)
+    group = rest // 2
+    n[group > 0] = 1  # copies count as one text
+    names = pa.array([t for t, _ in known], pa.string())
+    stems = pa.array([s for _, s in known], pa.bool_())
+    for a in range(0, len(term), HELD_TERMS):
+        part = slice(a, a + HELD_TERMS)
+        at = pa.array(term[part])
+        copies = groups.dictionary.take(pa.array(group[part] - 1, mask=group[part] == 0)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([names.take(at), stems.take(at), pa.array(rest[part] % 2), copies, pa.array(n[part])], ["term", "stem", "toxic", "copy_of", "n"])
+
+
+def word_forms(found: Words) -> tuple[np.ndarray, list[str]]:
+    """The number of each word's form, and the distinct forms of a block."""
+    spans = np.r_[found.begin, len(found.raw)]
+    raw = np.ascontiguousarray(found.raw)
+    coded = pa.LargeStringArray.from_buffers(len(found.begin), pa.py_buffer(spans.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+    return coded.indices.to_numpy(), [f.strip(" \t\n\r\v\f") for f in coded.dictionary.to_pylist()]
 
 
-def _term_counts(texts: DataFrame, terms: Callable[[str], set[tuple[str, bool]]] = terms_of) -> DataFrame:
-    """term, stem, found, against: how many toxic and clean texts have each term, copies (``copy_of``) as one."""
+def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tuple[str, bool]]]] = terms_of) -> DataFrame:
+    """term, stem, found, against: how many toxic and clean texts have each term, copies (``copy_of``) as one.
 
-    def table(seen: dict) -> pa.RecordBatch:
-        columns = [*map(list, zip(*seen)), list(seen.values())]
-        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "stem", "toxic", "copy_of", "n"])
+    ``terms`` names the terms of each of a list of words.
+    """
 
     def count(batches):
-        seen: dict[tuple[str, bool, int, int | None], int] = {}
         for batch in steps(batches):
-            for text, toxic, group in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "copy_of"))):
-                for term, stem in terms(text or ""):
-                    key = (term, stem, toxic, group)
-                    seen[key] = 1 if group is not None else seen.get(key, 0) + 1
-                if len(seen) >= HELD_TERMS:
-                    yield table(seen)
-                    seen = {}
-        if seen:
-            yield table(seen)
+            yield from _counted(batch, terms)
 
     each = texts.select("text", F.col("toxic").cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
     each = each.groupBy("term", "stem", "toxic", "copy_of").agg(F.sum("n").alias("n"))
@@ -275,7 +368,12 @@ def _clean_forms(texts: DataFrame, words: frozenset[str], stems: frozenset[str],
     """Keys of misspellings that clean texts use, and how many do. An entry has few keys: its own length in characters, one changed."""
     if not (words or stems):
         return {}
-    counts = _term_counts(texts, lambda text: set().union(*map(_trie(words, stems, frozenset()).near, words_of(text))))
+
+    def near(known: list[str]) -> list[Iterable[tuple[str, bool]]]:
+        trie = _trie(words, stems, frozenset())
+        return [trie.near(w) if close else () for w, close in zip(known, trie.filter.passes(known))]
+
+    counts = _term_counts(texts, near)
     rows = counts.where((F.col("against") > 0) & (_odds(n_toxic, n_clean) < MIN_ODDS)).collect()
     return {(r.term, r.stem): r.against for r in rows}
 
@@ -318,16 +416,13 @@ def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], cle
     found = Words(column, lower=False)
     if not len(found.begin):
         return out
-    spans = np.r_[found.begin, len(found.raw)]
-    raw = np.ascontiguousarray(found.raw)
-    coded = pa.LargeStringArray.from_buffers(len(found.begin), pa.py_buffer(spans.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
-    code = coded.indices.to_numpy()
-    forms = coded.dictionary.to_pylist()
+    code, forms = word_forms(found)
     kind, mark = np.zeros(len(forms), np.int8), np.zeros(len(forms), np.int8)
-    for i, form in enumerate(forms):
-        form = form.strip(" \t\n\r\v\f")
-        word = form.strip(_EDGES).lower()
-        kind[i] = trie.kind(word)
+    plain = [f.strip(_EDGES).lower() for f in forms]
+    close = trie.filter.passes(plain)
+    for i, (form, word) in enumerate(zip(forms, plain)):
+        if close[i]:
+            kind[i] = trie.kind(word)
         mark[i] = (form[:1] in _OPEN) + 2 * (form.rstrip(".,;:!?")[-1:] in _CLOSE) + 4 * (word in _SAID) + 8 * (word in _YOU)
     hits = np.flatnonzero(kind[code])
     text = np.searchsorted(found.first, hits, "right") - 1
