@@ -1,5 +1,7 @@
 """Nulls, ties and empty groups of operators, on rows by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
@@ -97,3 +99,23 @@ def test_readers(spark, tmp_path):
     assert [r.year for r in got] == [12, None] and got[0].gone is None
     name, best = readers.best_parse({"a": df.where("b = 'x'"), "b": df}, F.col("b").isNotNull())
     assert name == "b" and best.count() == 2
+
+
+def test_range_join_near_poles_and_across_the_antimeridian(spark):
+    rng = random.Random(8)
+    points = [(rng.choice([0.0, 78.0, 89.99, 89.9999, -89.995, 45.0]) + rng.uniform(-0.004, 0.004), rng.choice([179.999, -179.999, 0.0, 90.0, -90.0]) + rng.uniform(-0.02, 0.02)) for _ in range(600)]
+    points = [(max(-90.0, min(90.0, a)), (b + 180) % 360 - 180) for a, b in points]
+    a = spark.createDataFrame([(k, *p) for k, p in enumerate(points[:300])], "id long, lat double, lng double")
+    b = spark.createDataFrame([(k, *p) for k, p in enumerate(points[300:])], "id_r long, lat_r double, lng_r double")
+    got = {(r.id, r.id_r) for r in joins.range_join(a, b, [], 1000.0, geo.haversine).collect()}
+    every = a.crossJoin(b).where(geo.haversine(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r")) <= 1000).select("id", "id_r").collect()
+    assert got == {(r.id, r.id_r) for r in every} and len(got) > 1000
+    assert len(got) == joins.range_join(a, b, [], 1000.0, geo.haversine).count()
+
+
+def test_canonical_json_tells_texts_from_structure(spark):
+    from waymark.operators.rowsets import canonical_json
+
+    rows = ['{"a":"1&b=2"}', '{"a":"1","b":"2"}', '{"b":"2","a":"1"}', '{"a":null}', '{"a":"null"}', "{}"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(canonical_json(F.col("t"))).collect()]
+    assert got[1] == got[2] and len(set(got)) == 5

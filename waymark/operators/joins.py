@@ -6,7 +6,6 @@ compares all pairs; a residual condition decides.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,22 +15,33 @@ from waymark.functions.geo import DEGREE_M
 from waymark.functions.text import trigrams
 
 
-def _cells(lat: Column, lng: Column, size: float, spread: int) -> Column:
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-spread, spread + 1) for j in range(-spread, spread + 1)])
-    row, col = F.floor(lat / size), F.floor(lng / size)
-    return F.transform(around, lambda c: F.struct((row + c["i"]).alias("row"), (col + c["j"]).alias("col")))
+def _columns(row: Column, size: float) -> Column:
+    """How many cells a row of latitude has around the globe, none narrower than the radius in it or beside it."""
+    top = F.greatest(F.abs(row), F.abs(row + 1)) * size + size
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(top, F.lit(90.0)))) / size))
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], radius_m: float, distance, max_latitude: float = 60.0) -> DataFrame:
+def _cell(row: Column, lng: Column, size: float, step: int = 0) -> Column:
+    n = _columns(row, size)
+    return F.struct(row.alias("row"), F.pmod(F.floor((lng + 180) / 360 * n) + step, n).alias("col"))
+
+
+def _around(lat: Column, lng: Column, size: float) -> Column:
+    row = F.floor(lat / size)
+    return F.array_distinct(F.array(*[_cell(row + i, lng, size, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+
+def range_join(left: DataFrame, right: DataFrame, on: list[str], radius_m: float, distance) -> DataFrame:
     """Pairs of equal ``on`` within ``radius_m``: all columns of both sides and ``dist``.
 
     Both sides have lat and lng under names of their own (``lat``/``lng`` left, ``lat_r``/``lng_r``
-    right). The right side is posted in its cell, the left in 3 x 3 cells no smaller than the
-    radius at latitudes up to ``max_latitude``; points without coordinates meet nothing.
+    right). The right side is posted in its cell, the left in the cells around its own. A row of
+    cells has as many as its latitude leaves room for and closes around the globe, so points near
+    the poles and across the antimeridian meet as well; points without coordinates meet nothing.
     """
-    size = radius_m / (DEGREE_M * 0.99 * math.cos(math.radians(max_latitude)))
-    one = left.where("lat is not null and lng is not null").withColumn("_cell", F.explode(_cells(F.col("lat"), F.col("lng"), size, 1)))
-    two = right.where("lat_r is not null and lng_r is not null").withColumn("_cell", F.struct(F.floor(F.col("lat_r") / size).alias("row"), F.floor(F.col("lng_r") / size).alias("col")))
+    size = radius_m / (DEGREE_M * 0.99)
+    one = left.where("lat is not null and lng is not null").withColumn("_cell", F.explode(_around(F.col("lat"), F.col("lng"), size)))
+    two = right.where("lat_r is not null and lng_r is not null").withColumn("_cell", _cell(F.floor(F.col("lat_r") / size), F.col("lng_r"), size))
     met = one.join(two, [*on, "_cell"]).drop("_cell")
     return met.withColumn("dist", distance(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r"))).where(F.col("dist") <= radius_m)
 

@@ -9,9 +9,12 @@ from waymark.operators.joins import best_per
 
 
 def canonical_json(text: Column) -> Column:
-    """Canonical form of a flat JSON object, its keys in order; equal objects have equal forms."""
+    """Canonical form of a flat JSON object: a JSON array of its keys and values in order of keys.
+
+    Texts are escaped and a null is no text, so forms are equal just for equal objects.
+    """
     entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "&")
+    return F.to_json(F.transform(entries, lambda e: F.array(e["key"], e["value"])))
 
 
 def numbered_repeats(df: DataFrame, key: str, order: list[Column], alias: str) -> DataFrame:

@@ -160,28 +160,35 @@ def stay_points(df: DataFrame, keys: list[str], t: str, dwell: str, tie: str, ra
     return out.where(F.col("leave") - F.col("arrive") >= least)
 
 
-def chain_extend(df: DataFrame, keys: list[str], key: str, start: str, end: str, step_kind: Column, radius_m: float = 300.0) -> DataFrame:
+def chain_extend(df: DataFrame, keys: list[str], key: str, start: str, end: str, step_kind: Column, radius_m: float = 300.0, backward: bool = False) -> DataFrame:
     """``extended``: the leave time of each stop stretched over the stops that follow on.
 
     A follower counts if ``step_kind`` holds, it lies within the radius of the stop itself, and it
     begins within 10 minutes and lasts 15, or within 20 and lasts 30. The first that fails ends
-    the chain; null where nothing follows. ``keys`` must bound the group.
+    the chain; null where nothing follows. ``backward`` stretches the arrival over the stops
+    before, which must have ended when the chain begins. A key's stops are listed once and all
+    their chains follow from that list; ``keys`` must bound the group.
     """
     rows = df.withColumn("_step", step_kind)
-    after = Window.partitionBy(*keys).orderBy(start, key).rowsBetween(1, Window.unboundedFollowing)
-    follow = F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col("_step").alias("ok"), F.col("lat").alias("lat"), F.col("lng").alias("lng"))).over(after)
-    rows = rows.withColumn("_follow", follow)
-
-    def step(acc: Column, p: Column) -> Column:
-        gap, stay = p["s"] - acc["at"], p["e"] - p["s"]
-        timely = ((gap <= 600) & (stay >= 900)) | ((gap <= 1200) & (stay >= 1800))
-        near = haversine(F.col("lat"), F.col("lng"), p["lat"], p["lng"]) <= radius_m
-        skip = acc["open"] & (p["s"] < acc["at"])
-        good = F.coalesce(acc["open"] & p["ok"] & timely & near, F.lit(False))
-        return F.when(skip, acc).otherwise(F.struct(F.when(good, p["e"]).otherwise(acc["at"]).alias("at"), good.alias("open"), (acc["grown"] | good).alias("grown")))
-
-    zero = F.struct(F.col(end).alias("at"), F.lit(True).alias("open"), F.lit(False).alias("grown"))
-    return rows.withColumn("extended", F.aggregate("_follow", zero, step, lambda a: F.when(a["grown"], a["at"]))).drop("_follow", "_step")
+    fields = {"s": start, "k": key, "e": end, "ok": "_step", "lat": "lat", "lng": "lng"}
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in fields.items()]))).alias("_all"))
+
+    def chain(own: Column, others: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            gap, stay = (acc["at"] - p["e"] if backward else p["s"] - acc["at"]), p["e"] - p["s"]
+            timely = ((gap <= 600) & (stay >= 900)) | ((gap <= 1200) & (stay >= 1800))
+            near = haversine(own["lat"], own["lng"], p["lat"], p["lng"]) <= radius_m
+            good = F.coalesce(acc["open"] & p["ok"] & timely & near & (gap >= 0), F.lit(False))
+            skip = F.lit(False) if backward else acc["open"] & (gap < 0)
+            new = F.struct(F.when(good, p["s"] if backward else p["e"]).otherwise(acc["at"]).alias("at"), good.alias("open"), (acc["grown"] | good).alias("grown"))
+            return F.when(skip, acc).otherwise(new)
+
+        zero = F.struct((own["s"] if backward else own["e"]).alias("at"), F.lit(True).alias("open"), F.lit(False).alias("grown"))
+        return F.aggregate(others, zero, step, lambda a: F.when(a["grown"], a["at"]))
+
+    every = F.reverse("_all") if backward else F.col("_all")
+    found = listed.withColumn("_all", every).withColumn("_chains", F.transform("_all", lambda own, i: F.struct(own["k"].alias(key), chain(own, F.slice("_all", i + 2, F.size("_all"))).alias("extended"))))
+    return df.join(found.select(*keys, F.explode("_chains").alias("_c")).select(*keys, "_c.*"), [*keys, key], "left")
 
 
 def ranked_against_plan(done: DataFrame, trip: list[str], arrive: str, planned: str) -> DataFrame:

@@ -32,7 +32,7 @@ def nearest_store(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {i.STOPS}, {i.STORES} SELECT stop_id, store_id, {i.hundredths_sql('d')} AS dist FROM (SELECT stop_id, store_id, radius, {_P} AS d FROM stops, stores) WHERE d <= greatest(radius, 150) + 30 QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY d, store_id) = 1")
 def geofence_of_stop(spark: SparkSession, d: str) -> DataFrame:
-    met = joins.range_join(i.stops(spark, d), i.stores(spark, d), [], 330.0, planar, max_latitude=0.0)
+    met = joins.range_join(i.stops(spark, d), i.stores(spark, d), [], 330.0, planar)
     got = joins.best_per(met.where(F.col("dist") <= F.greatest("radius", F.lit(150)) + 30), ["stop_id"], [F.col("dist"), F.col("store_id")])
     return got.select("stop_id", "store_id", i.hundredths(F.col("dist")).alias("dist"))
 
@@ -171,7 +171,7 @@ def present_null_override(spark: SparkSession, d: str) -> DataFrame:
 _OTHERS = f"WITH {i.STOPS}, {i.DELIVERIES}, s AS (SELECT stop_id, vehicle AS v, start, \"end\" AS e, lat AS lat_r, lng AS lng_r FROM stops)"
 
 
-@query(_OTHERS + f", m AS (SELECT delivery, stop_id, v, {_H} AS d FROM deliveries, s WHERE vehicle <> v AND e - start >= 120) SELECT delivery, stop_id, v AS by FROM m WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY d, stop_id) = 1")
+@query(_OTHERS + f", m AS (SELECT delivery, stop_id, v, {_H} AS d FROM deliveries, s WHERE vehicle <> v AND e - start >= 120 AND start // 86400 = planned_at // 86400) SELECT delivery, stop_id, v AS by FROM m WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY d, stop_id) = 1")
 def other_vehicle_stop(spark: SparkSession, d: str) -> DataFrame:
     return evidence.other_vehicle_stop(i.deliveries(spark, d), _evidence_stops(spark, d)).select("delivery", "stop_id", "by")
 
@@ -184,7 +184,7 @@ _OWN = f""", own1 AS (SELECT delivery, client, stop_id, start, e, d, min(CASE WH
  own AS (SELECT *, CASE WHEN d <= 100 THEN 1 WHEN d <= 300 THEN 2 ELSE 3 END AS ring FROM own1 WHERE o IS NULL OR o.c = client OR d <= o.d QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY ring, start - e, d, stop_id) = 1),
  sh1 AS (SELECT delivery, client, stop_id, start, e, d FROM (SELECT *, {_H} AS d FROM deliveries JOIN s ON vehicle = v) WHERE d <= 150 AND e - start BETWEEN 120 AND 3600), sc AS (SELECT stop_id, count(DISTINCT client) AS c FROM sh1 GROUP BY 1),
  sh AS (SELECT * FROM sh1 JOIN sc USING (stop_id) WHERE c > 1 AND d <= 100 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY start - e, d, stop_id) = 1),
- ot AS (SELECT * FROM (SELECT *, {_H} AS d FROM deliveries, s WHERE vehicle <> v AND e - start >= 120) WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY d, stop_id) = 1),
+ ot AS (SELECT * FROM (SELECT *, {_H} AS d FROM deliveries, s WHERE vehicle <> v AND e - start >= 120 AND start // 86400 = planned_at // 86400) WHERE d <= 300 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY d, stop_id) = 1),
  ne AS (SELECT * FROM (SELECT *, {_H} AS d FROM deliveries JOIN s ON vehicle = v) WHERE d <= 2000 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY d, stop_id) = 1),
  k AS (SELECT p.*, own.start AS t_own, own.d AS d_own, CASE WHEN p.delivery % 23 = 0 THEN p.planned_at + 600 END AS t_done, sh.start AS t_sh, sh.d AS d_sh, ot.start AS t_ot, ot.d AS d_ot, ne.d AS d_ne,
   CASE WHEN ring <= 2 THEN 'own_ring' WHEN ring = 3 THEN 'own_proven' WHEN p.delivery % 23 = 0 THEN 'target_done' WHEN sh.start IS NOT NULL THEN 'shared' WHEN ot.start IS NOT NULL THEN 'other_vehicle' WHEN ne.d <= 500 THEN 'wide_ring' WHEN ne.d IS NOT NULL THEN 'near' ELSE 'none' END AS kind

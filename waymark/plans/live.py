@@ -73,13 +73,13 @@ def decayed_confidence(spark: SparkSession, d: str) -> DataFrame:
     return day.decayed(p, "confidence", "seen", F.lit(100)).select("id", "confidence")
 
 
-_EV = f"WITH {i.STOPS}, e AS (SELECT vehicle AS client, CASE WHEN kind = 'BASE' THEN 'manual' WHEN kind = 'STORE' THEN 'confirmed' ELSE 'orphan' END AS kind, stop_id % 5 AS value, start // 7200 AS day FROM stops WHERE stop_id % 3 = 0)"
+_EV = f"WITH {i.STOPS}, e AS (SELECT vehicle AS client, CASE WHEN kind = 'BASE' THEN 'manual' WHEN kind = 'STORE' THEN 'confirmed' ELSE 'orphan' END AS kind, stop_id % 5 AS value, start // 7200 AS day FROM stops)"
 
 
 @query(_EV + ", g AS (SELECT client, kind, value, count(DISTINCT day) AS days, max(day) AS last FROM e GROUP BY ALL) SELECT client, kind, value, days FROM g QUALIFY row_number() OVER (PARTITION BY client ORDER BY CASE WHEN kind = 'manual' THEN 1 WHEN kind = 'confirmed' AND days >= 2 THEN 2 WHEN kind = 'orphan' AND days >= 2 THEN 3 ELSE 4 END, days DESC, last DESC, value) = 1")
 def learned_values(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "BASE", "manual").when(F.col("kind") == "STORE", "confirmed").otherwise("orphan")
-    e = i.stops(spark, d).where("stop_id % 3 = 0").select(F.col("vehicle").alias("client"), kind.alias("kind"), (F.col("stop_id") % 5).alias("value"), F.floor(F.col("start") / 7200).alias("day"))
+    e = i.stops(spark, d).select(F.col("vehicle").alias("client"), kind.alias("kind"), (F.col("stop_id") % 5).alias("value"), F.floor(F.col("start") / 7200).alias("day"))
     return day.learned(e, ["client"]).select("client", "kind", "value", "days")
 
 

@@ -22,9 +22,9 @@ def anomaly_01(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.unmatched_plan(i.routes(spark, d), i.stops(spark, d))
 
 
-@query(f"{_R} {_sel('02', 'vehicle')} FROM (SELECT DISTINCT vehicle FROM stops WHERE vehicle NOT IN (SELECT vehicle FROM routes WHERE route_id % 3 = 0 AND vehicle % 4 = 0))")
+@query(f"{_R} {_sel('02', 'vehicle')} FROM (SELECT DISTINCT vehicle FROM stops WHERE vehicle NOT IN (SELECT vehicle FROM routes))")
 def anomaly_02(spark: SparkSession, d: str) -> DataFrame:
-    return anomalies.unplanned(i.routes(spark, d).where("route_id % 3 = 0 and vehicle % 4 = 0"), i.stops(spark, d))
+    return anomalies.unplanned(i.routes(spark, d), i.stops(spark, d))
 
 
 @query(f"{_R} {_sel('03', 'stop_id')} FROM stops WHERE kind = 'OUTSIDE' AND store IS NULL AND \"end\" - start >= 600")

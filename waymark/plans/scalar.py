@@ -156,7 +156,7 @@ def valid_intervals(spark: SparkSession, d: str) -> DataFrame:
     return o.where(predicates.valid_on(F.lit("1998-06-01").cast("date"), F.col("first"), last)).select(F.col("o_orderkey").alias("id"))
 
 
-@query("""SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 'k=' || json_extract_string(props, '$.k') AS canonical FROM events""")
+@query("""SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, '[["k","' || json_extract_string(props, '$.k') || '"]]' AS canonical FROM events""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     from waymark.operators.rowsets import canonical_json
 

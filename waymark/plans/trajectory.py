@@ -48,11 +48,10 @@ def base_departure_and_return(spark: SparkSession, d: str) -> DataFrame:
     return sequence.first_after(out, ["vehicle"], ["start", "stop_id"], F.when(base, F.col("start")), "back_at").select("stop_id", "left_base", "back_at")
 
 
-@query(f"""WITH {i.STOPS}, l AS (SELECT *, max(CASE WHEN kind <> 'BASE' AND stop_id % 3 = 0 THEN "end" END) OVER (PARTITION BY vehicle) AS lo FROM stops WHERE kind = 'BASE' OR stop_id % 3 = 0)
+@query(f"""WITH {i.STOPS}, l AS (SELECT *, max(CASE WHEN kind <> 'BASE' THEN "end" END) OVER (PARTITION BY vehicle) AS lo FROM stops)
  SELECT vehicle, max(lo) AS last_out, min(CASE WHEN kind = 'BASE' AND start >= lo AND "end" - start >= 600 THEN start END) AS back_at FROM l GROUP BY vehicle""")
 def return_to_base(spark: SparkSession, d: str) -> DataFrame:
-    s = i.stops(spark, d).where("kind = 'BASE' or stop_id % 3 = 0")
-    return sequence.return_after_last(s, ["vehicle"], "start", "end", F.col("kind") == "BASE", 600)
+    return sequence.return_after_last(i.stops(spark, d), ["vehicle"], "start", "end", F.col("kind") == "BASE", 600)
 
 
 _JUMP = i.haversine_sql("lat", "lng", "nlat", "nlng")
