@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Rows of eight or so bytes each that may be broadcast: about 32 MB. Larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that a numpy step handles at once; a longer single text forms a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +77,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()  # the worker lives on and its next task may be another one
 
 
 def over_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import over_arrow, small, steps, stored
+from waymark.llm.common import over_arrow, released, small, steps, stored
 from waymark.llm.components import components
 from waymark.llm.neardup import signatures
 from waymark.llm.textkernel import Words, gather, mix, shingle_sets
@@ -361,7 +361,9 @@ def _lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> tuple[frozenset[st
     share = found / (found + against)
     clean = F.when(against > 0, against * F.log((1 - share) / (1 - base))).otherwise(0.0)
     good = tried.where((_odds(n_toxic, n_clean) >= MIN_ODDS) & (found * F.log(share / base) + clean >= bar))
-    return reduced({(r.term, r.stem): r.found for r in good.select("term", "stem", "found").collect()})
+    entries = {(r.term, r.stem): r.found for r in good.select("term", "stem", "found").collect()}
+    released(tried)
+    return reduced(entries)
 
 
 def _clean_forms(texts: DataFrame, words: frozenset[str], stems: frozenset[str], n_toxic: int, n_clean: int) -> dict[tuple[str, bool], int]:
@@ -490,6 +492,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     seen = over_arrow(rows, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic"]))
     cells = seen.groupBy(*FEATURES).agg(F.sum("toxic").alias("positive"), F.count("*").alias("total")).collect()
+    released(rows, texts)
     if not cells:
         return Model(words, stems, frozenset(used), None)
     table = np.array([[*r] for r in cells], float)

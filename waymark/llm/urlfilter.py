@@ -15,8 +15,8 @@ from waymark.llm.components import components
 
 #: (action, host, path); the longest fitting rule wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Rules are tried one by one in each row; a longer list belongs in a table joined by host.
-MAX_RULES = 1000
+#: Up to so many rules are tried one by one in each row; more are a table joined by host, with the same result.
+IN_ROW = 100
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,8 +39,6 @@ def with_address(rows: DataFrame, url: str) -> DataFrame:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, action) of the longest rule whose host is the host or a parent and whose path begins the path."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; join them as a table instead")
     rule = action = F.lit(None).cast("string")
     for act, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(rule_path))
@@ -49,6 +47,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
+    """``rows`` (with host and path) with rule and action."""
+    if len(rules) <= IN_ROW:
+        rule, action = rule_of(F.col("host"), F.col("path"), rules)
+        return rows.withColumn("rule", rule).withColumn("action", action)
+    table = rows.sparkSession.createDataFrame([(place, *r) for place, r in enumerate(rules)], "place int, action string, rule_host string, rule_path string")
+    labels = F.split("host", "[.]")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(parents)).join(table, "rule_host").where(F.startswith("path", F.col("rule_path")))
+    rule = F.concat("rule_host", "rule_path")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("size"), "place", rule.alias("rule"), "action")).alias("b"))
+    return rows.join(best.select("host", "path", "b.rule", "b.action"), ["host", "path"], "left")
+
+
 def _resolved(target: Column, path: Column) -> Column:
     """Path and query of a relative target on a page with this path."""
     own, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
@@ -60,16 +72,16 @@ def _resolved(target: Column, path: Column) -> Column:
         return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
 
     parts = F.split(full, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)  # a folder
     plain = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
     return F.concat(F.when(own == "", path).otherwise(plain), rest)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) addresses of each page's canonical links and meta redirects.
+    """src, dst, host, path: addresses that each page's canonical links and meta redirects lead to, with host and path of dst.
 
     A target with ``//`` or a scheme is taken as it stands, a relative one on the page's own host
-    and path, dot segments removed. ORACLE follows of the relative ones only those that begin with
-    ``/``, and removes no dot segments. A ``base`` tag is not read.
+    and path, dot segments removed. A ``base`` tag is not read.
     """
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tag = with_address(pages.select("url", "html"), "url").select("host", "path", "node", F.explode(tags).alias("tag")).where("node is not null")
@@ -82,7 +94,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     target = F.when(F.startswith("t", F.lit("//")), F.concat(F.lit("http:"), "t"))
     target = target.when(F.col("t").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("t"))
     target = target.when(~F.startswith("t", F.lit("#")), F.concat(F.lit("http://"), "host", _resolved(F.col("t"), F.col("path"))))
-    edges = with_address(tag.select(F.col("node").alias("src"), target.alias("target")), "target").select("src", F.col("node").alias("dst"))
+    edges = with_address(tag.select(F.col("node").alias("src"), target.alias("target")), "target").select("src", F.col("node").alias("dst"), "host", "path")
     # stored before the filter, which would otherwise be expanded through every step above
     return stored(edges.distinct(), "aliases").where("src is not null and dst is not null and src <> dst")
 
@@ -91,16 +103,16 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, component (null without aliases).
 
     A null url or one without ``://`` has an empty host and path, no rule and the verdict allow;
-    null html has no links. Repeated rows give repeated rows and other columns are not read.
+    null html has no links, html of any length is searched whole. Repeated rows give repeated rows
+    and other columns are not read. Rules see the paths that pages and links spell.
     """
-    rows = with_address(pages.select("page_id", "url"), "url")
-    rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("action", action)
-    groups = components(alias_edges(pages.select("url", "html")))
-    nodes = groups.withColumn("host", F.regexp_extract("node", "^[^/?]*", 0)).withColumn("path", F.concat(F.regexp_extract("node", "^[^/?]*([^?]*)", 1), F.lit("/")))
-    # an address keeps no closing slash, so rules see its path with one
-    said = nodes.select("component", rule_of(F.col("host"), F.col("path"), rules)[1].alias("said")).where("said is not null").groupBy("component")
-    said = said.agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
+    rows = ruled(with_address(pages.select("page_id", "url"), "url"), rules)
+    edges = alias_edges(pages.select("url", "html"))
+    groups = components(edges.select("src", "dst"))
+    targets = ruled(edges.select(F.col("dst").alias("node"), "host", "path").distinct(), rules)
+    said = rows.select("node", "action").unionByName(targets.select("node", "action")).where("action is not null").distinct()
+    said = said.join(groups, "node").groupBy("component")
+    said = said.agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
     found = groups.join(said, "component", "left").select("node", "component", (F.col("blocked") & ~F.col("allowed")).alias("shut"))
     out = rows.join(found, "node", "left")
     verdict = F.coalesce("action", F.when(F.col("shut"), "block").otherwise("allow"))
@@ -118,23 +130,27 @@ page AS (
   SELECT row_id, page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*([?][^#]*)', 1), '') AS query FROM parts),
 keyed AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/$', '') || query END AS node FROM page),
-tags AS (SELECT host, node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM keyed WHERE node IS NOT NULL),
+tags AS (SELECT host, path, node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM keyed WHERE node IS NOT NULL),
 raw_targets AS (
-  SELECT host, node, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  SELECT host, path, node, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS t FROM tags),
+pieces AS (SELECT *, regexp_extract(t, '^[^?#]*') AS own, regexp_extract(t, '^[^?#]*(.*)$', 1) AS more, CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^.*/') ELSE '/' END AS folder FROM raw_targets),
+split_up AS (SELECT *, string_split(CASE WHEN own LIKE '/%' THEN own ELSE folder || own END, '/') AS parts FROM pieces),
+walked AS (SELECT *, list_reduce(list_concat([''], parts[2:], CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE [] END), lambda a, b: CASE b WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || b END) AS plain FROM split_up),
 targets AS (
-  SELECT node, CASE WHEN t LIKE '//%' THEN substr(t, 3) WHEN t LIKE '/%' THEN host || t WHEN position('://' IN t) > 0 THEN substr(t, position('://' IN t) + 3) END AS rest FROM raw_targets),
-edges AS (
-  SELECT DISTINCT node AS src, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/$', '') || coalesce(regexp_extract(rest, '^[^?#]*([?][^#]*)', 1), '') AS dst
-  FROM targets WHERE regexp_extract(rest, '^[^/?#]*') <> ''),
+  SELECT node, CASE WHEN t LIKE '//%' THEN substr(t, 3) WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN position('://' IN t) > 0 THEN substr(t, position('://' IN t) + 3) END
+    WHEN t NOT LIKE '#%' THEN host || CASE WHEN own = '' THEN path ELSE plain END || more END AS rest FROM walked WHERE t <> ''),
+links AS (
+  SELECT DISTINCT node AS src, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    coalesce(regexp_extract(rest, '^[^?#]*([?][^#]*)', 1), '') AS query FROM targets WHERE regexp_extract(rest, '^[^/?#]*') <> ''),
+edges AS (SELECT src, host || regexp_replace(path, '/$', '') || query AS dst, host, path FROM links),
 both_ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
 reach(node, other) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
 alias AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+addresses AS (SELECT node, host, path FROM keyed WHERE node IS NOT NULL UNION SELECT dst, host, path FROM edges),
 node_said AS (
-  SELECT a.component, arg_max(r.action, length(r.rule_host || r.rule_path)) AS said FROM alias a JOIN rules r
-    ON (regexp_extract(a.node, '^[^/?]*') = r.rule_host OR ends_with(regexp_extract(a.node, '^[^/?]*'), '.' || r.rule_host))
-    AND (starts_with(regexp_extract(a.node, '^[^/?]*([^?]*)', 1) || '/', r.rule_path)) GROUP BY a.node, a.component),
+  SELECT a.component, arg_max(r.action, length(r.rule_host || r.rule_path)) AS said FROM alias a JOIN addresses x USING (node) JOIN rules r
+    ON (x.host = r.rule_host OR ends_with(x.host, '.' || r.rule_host)) AND starts_with(x.path, r.rule_path) GROUP BY a.component, x.node, x.host, x.path),
 shut AS (SELECT component, bool_or(said = 'block') AND NOT bool_or(said = 'allow') AS shut FROM node_said GROUP BY component),
 ruled AS (
   SELECT k.row_id, arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule, arg_max(r.action, length(r.rule_host || r.rule_path)) AS action
