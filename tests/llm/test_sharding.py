@@ -1,7 +1,10 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.llm.common import odd_documents
+from waymark.llm import sharding
 from waymark.llm.sharding import sharded
 
 
@@ -40,3 +43,22 @@ def test_odd_rows(spark):
     docs = odd_documents(spark)
     check(docs, sharded(docs, 4).collect(), 4)
     assert sharded(docs.limit(0)).count() == 0
+
+
+def test_salted_groups_give_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"k{i % 7}", 3) for i in range(200)], "doc_id long, text_key string, size long")
+    groups = rows.select("text_key").distinct().where("text_key <> 'k3'").withColumn("more", F.length("text_key"))
+    plain = [sorted(map(tuple, sharding._with_group(rows, g, 6, how).collect())) for how, g in (("inner", groups), ("left_anti", groups.select("text_key")))]
+    monkeypatch.setattr(sharding, "BROADCAST_GROUPS", 1)
+    salted = [sorted(map(tuple, sharding._with_group(rows, g, 6, how).collect())) for how, g in (("inner", groups), ("left_anti", groups.select("text_key")))]
+    assert plain == salted and len(plain[0]) + len(plain[1]) == 200
+
+
+def test_fewer_cut_edges_than_by_hash(spark):
+    """Links between a copy and the first of its group that lie in two shards, against a hash and the fewest possible."""
+    rows = [(i, f"text {i % 60}" if i < 1200 else f"own {i}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.sharded(docs, 8).collect()}
+    hashed = {r.doc_id: r.shard for r in sharding._rows(docs, 8).select("doc_id", "shard").collect()}
+    cut = lambda shard: sum(shard[i] != shard[i % 60] for i in range(60, 1200))
+    assert cut(got) <= 0.25 * cut(hashed)  # none need be cut: a group of 20 fits a shard of 300

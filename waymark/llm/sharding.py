@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import Counters, stored, with_ranks
+from waymark.llm.common import Counters, released, stored, with_ranks
 
 ROUNDS = 4
+#: Groups of copies up to which a row of each is broadcast; beyond, groups are joined under SALTS keys each.
+BROADCAST_GROUPS = 100_000
+SALTS = 16
 
 
 def _rows(docs: DataFrame, shards: int) -> DataFrame:
@@ -37,16 +40,26 @@ def _targets(cells: DataFrame, capacity: int) -> DataFrame:
     return groups.select("text_key", F.transform(F.slice("cells", F.lit(1), wanted), lambda c: c["shard"]).alias("choice"))
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the ``n`` rows of ``groups`` on text_key, such that no task gets all rows of a large group."""
+    if n <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), "text_key", how)
+    salted = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return met.join(salted, ["text_key", "salt"], how).drop("salt")
+
+
 def propagated(rows: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` with linked and the shard that label propagation gives, sizes even up to chance."""
-    sizes = rows.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1")
-    linked = stored(rows.join(sizes, "text_key").drop("copies"), "linked")
-    free = rows.join(sizes, "text_key", "left_anti").withColumn("linked", F.lit(False))
+    sizes = stored(rows.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1").select("text_key"), "groups")
+    groups = sizes.count()
+    linked = stored(_with_group(rows, sizes, groups), "linked")
+    free = _with_group(rows, sizes, groups, "left_anti").withColumn("linked", F.lit(False))
     capacity = total // shards
     for turn in range(rounds):
         cells = linked.groupBy("text_key", "shard").agg(F.count("*").alias("n"))
         spread = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.size("choice")).cast("int")
-        aim = linked.join(_targets(cells, capacity), "text_key")
+        aim = _with_group(linked, _targets(cells, capacity), groups)
         aim = aim.withColumn("aim", F.when(F.array_contains("choice", F.col("shard")), F.col("shard")).otherwise(F.element_at("choice", spread + 1))).drop("choice")
         wishes = np.zeros((shards, shards))
         held = np.zeros(shards)
@@ -63,7 +76,8 @@ def propagated(rows: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -
         chance = np.divide(swaps + beyond * share, wishes, out=np.zeros_like(wishes), where=wishes > 0)
         quota = F.element_at(F.array(*map(F.lit, chance.ravel().tolist())), (F.col("shard") * shards + F.col("aim") + 1).cast("int"))
         moves = F.pmod(F.xxhash64("doc_id", F.lit(1000 + turn)), F.lit(1 << 20)) < quota * (1 << 20)
-        linked = stored(aim.withColumn("shard", F.when(moves, F.col("aim")).otherwise(F.col("shard"))).drop("aim"), "linked")
+        before, linked = linked, stored(aim.withColumn("shard", F.when(moves, F.col("aim")).otherwise(F.col("shard"))).drop("aim"), "linked")
+        released(before)
     return linked.withColumn("linked", F.lit(True)).unionByName(free)
 
 
