@@ -121,3 +121,16 @@ def test_matrix_rows_give_the_ids_back(spark):
         ids = np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])])
         assert ids[-1] == 50256 and decode_bytes(ids[:-1], BYTES).decode() == texts[d]
     assert set(back) == set(texts)
+
+
+def test_written_matrices_are_read_as_arrays(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.matrix(docs, BYTES)
+    packing.write_matrix(rows, str(tmp_path / "rows"))
+    want = {bytes(r.ids): r.cu_seqlens for r in rows.collect()}
+    n = 0
+    for ids, cuts, resets in packing.id_matrices([str(f) for f in (tmp_path / "rows").glob("*.parquet")]):
+        assert ids.shape[1] == 2048 and ids.dtype == np.dtype("<u2") and len(cuts) == len(resets) == len(ids)
+        assert all(want[row.tobytes()] == cut for row, cut in zip(ids, cuts))
+        n += len(ids)
+    assert n == rows.count()

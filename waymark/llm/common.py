@@ -114,11 +114,13 @@ def with_ranks(numbered: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """Gapless global rank within ``key`` from a stored table with task_id and task_row.
 
     ``task_row`` numbers the rows of a key inside a task (see Counters). The offsets of the
-    tasks come from a count per key and task, so no sort and no task that holds a whole key.
+    tasks come from a count per key and task, so no sort and no task that holds a whole key;
+    while they are few, the rows themselves aren't moved.
     """
     from pyspark.sql import Window
 
-    counts = numbered.groupBy(key, "task_id").agg(F.count("*").alias("n"))
+    counts = stored(numbered.groupBy(key, "task_id").agg(F.count("*").alias("n")), "counts")
     before = Window.partitionBy(key).orderBy("task_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "task_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return numbered.join(offsets, [key, "task_id"]).withColumn(rank, F.col("before") + F.col("task_row")).drop("before")
+    met = numbered.join(small(offsets, counts.count()), [key, "task_id"])
+    return met.withColumn(rank, F.col("before") + F.col("task_row")).drop("before")

@@ -244,3 +244,19 @@ def matrix(docs: DataFrame, path: str, word: bool = False, capacity: int = 2048,
 
     schema = "sequence_id long, ids binary, cu_seqlens array<int>, position_resets array<int>, n_tokens long, doc_ids array<long>, starts array<long>"
     return rows.mapInArrow(build, schema)
+
+
+def write_matrix(rows: DataFrame, path: str) -> None:
+    """Write matrix() rows as Parquet, the ids of a row as one value of fixed width."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def id_matrices(files: list[str], capacity: int = 2048):
+    """(id matrix, cu_seqlens of its rows, position_resets of its rows) of each batch of rows in files of write_matrix(), as a trainer reads them."""
+    import pyarrow.parquet as pq
+
+    for file in files:
+        for batch in pq.ParquetFile(file).iter_batches(columns=["ids", "cu_seqlens", "position_resets"]):
+            raw = b"".join(batch.column("ids").to_pylist())
+            width = len(raw) // max(batch.num_rows * capacity, 1) or 4
+            yield np.frombuffer(raw, f"<u{width}").reshape(batch.num_rows, capacity), batch.column("cu_seqlens").to_pylist(), batch.column("position_resets").to_pylist()
