@@ -65,15 +65,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def steps(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most STEP_BYTES of text (one text at least)."""
+def steps(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most ``size`` bytes of text (one text at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = text_buffer(batch.column(text))
         begin = 0
         while begin < batch.num_rows:
-            end = int(np.searchsorted(offs, offs[begin] + STEP_BYTES, "right")) - 1
+            end = int(np.searchsorted(offs, offs[begin] + size, "right")) - 1
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end

@@ -36,6 +36,8 @@ FUZZY_LENGTH = 6
 REMEMBERED = 30_000
 #: Counted terms that a task passes on at once.
 HELD_TERMS = 100_000
+#: Text bytes whose terms are counted together: the more, the fewer rows are passed on.
+COUNTED_BYTES = 4 << 20
 #: Characters that stand for letters they look like; 1, ! and | stand for two.
 _LOOKS = [str.maketrans("0345678@$1!|оаесрхуі", "oeasgtbas" + bar + "oaecpxyi") for bar in ("iii", "lll")]
 #: Words on either side that make a hit's context.
@@ -290,7 +292,7 @@ def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tu
     """
 
     def count(batches):
-        for batch in steps(batches):
+        for batch in steps(batches, size=COUNTED_BYTES):
             yield from _counted(batch, terms)
 
     each = texts.select("text", F.col("toxic").cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
@@ -300,7 +302,7 @@ def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tu
 
 
 def with_copies(rows: DataFrame) -> DataFrame:
-    """Distinct text, toxic, and copy_of: a number that near-equal texts have in common, null for a text without copies."""
+    """Distinct text, toxic, times (rows), and copy_of: a number that near-equal texts have in common, null for a text without copies."""
 
     def keys(batches):
         for batch in steps(batches):
@@ -312,11 +314,11 @@ def with_copies(rows: DataFrame) -> DataFrame:
             owner = np.repeat(batch.column("id").to_numpy(), marks.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(out.ravel().view(np.int64))], ["id", "key"])
 
-    texts = rows.select("text", "toxic", F.xxhash64("text").alias("id")).distinct()
+    texts = rows.groupBy("text", "toxic").agg(F.count("*").alias("times")).withColumn("id", F.xxhash64("text"))
     held = stored(texts.select("text", "id").dropDuplicates(["id"]).mapInArrow(keys, "id long, key long"), "copies")
     first = held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = components(held.join(first, "key").select(F.col("id").alias("src"), F.col("first").alias("dst")), native=False)
-    return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "copy_of")
+    return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "times", "copy_of")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: bool | None = False) -> DataFrame:
@@ -478,8 +480,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from all labelled rows outside the held-out fold; at most 72 counted cells reach the driver."""
-    rows = stored(labelled(docs, labels), "labelled")
-    texts = stored(with_copies(rows), "texts")
+    texts = stored(with_copies(labelled(docs, labels)), "texts")
     sizes = _sizes(texts)
     words, stems = _lexicon(texts, *sizes)
     used = _clean_forms(texts, words, stems, *sizes)
@@ -488,11 +489,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = features(batch.column("text"), words, stems, repeated)
-        return pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("toxic").cast(pa.int64())], [*FEATURES, "toxic"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("toxic").cast(pa.int64()), batch.column("times")], [*FEATURES, "toxic", "times"])
 
-    seen = over_arrow(rows, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic"]))
-    cells = seen.groupBy(*FEATURES).agg(F.sum("toxic").alias("positive"), F.count("*").alias("total")).collect()
-    released(rows, texts)
+    seen = over_arrow(texts, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic", "times"]))
+    cells = seen.groupBy(*FEATURES).agg(F.sum(F.col("toxic") * F.col("times")).alias("positive"), F.sum("times").alias("total")).collect()
+    released(texts)
     if not cells:
         return Model(words, stems, frozenset(used), None)
     table = np.array([[*r] for r in cells], float)
