@@ -27,7 +27,7 @@ def days(spark: SparkSession, path: str, first: str, last: str, column: str = "d
 
 def document_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, line_no, line) of plain-text documents, one file a row first (``wholetext``)."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
@@ -101,3 +101,33 @@ def fresh(df: DataFrame, written: str, day: str, now: Column, today: Column, min
     age = (now - F.col(written)) / 60
     ended = F.col(written) >= (F.col(day) + 1) * 86_400
     return df.where(F.when(F.col(day) == today, age <= minutes_today).otherwise((age <= minutes_past) & ended))
+
+
+def blocks(lines: DataFrame, doc: list[str], order: str, line: str, heads: Mapping[str, str], item: str, fields: Mapping[str, int]) -> DataFrame:
+    """Item lines of text documents with what the header lines above them say: ``doc``, ``order``, the heads and the item's fields.
+
+    ``heads``: name to pattern with one group. A line of the first head begins a block; the other
+    heads hold until the block ends. Items before any block belong to none and go; ``fields``
+    names groups of ``item``. Spaces in lines count once.
+    """
+    from pyspark.sql import Window
+
+    text = F.trim(F.regexp_replace(line, r"\s+", " "))
+    rows = lines.select(*doc, order, text.alias("_text"))
+    first = next(iter(heads))
+    rows = rows.withColumns({f"_{n}": F.when(F.col("_text").rlike(p), F.regexp_extract("_text", p, 1)) for n, p in heads.items()})
+    block = F.sum(F.col(f"_{first}").isNotNull().cast("int")).over(Window.partitionBy(*doc).orderBy(order))
+    rows = rows.withColumn("_block", block)
+    inside = Window.partitionBy(*doc, "_block").orderBy(order)
+    rows = rows.withColumns({n: F.last(f"_{n}", ignorenulls=True).over(inside) for n in heads})
+    found = rows.where((F.col("_block") > 0) & F.col("_text").rlike(item))
+    return found.select(*doc, order, *heads, *[F.regexp_extract("_text", item, g).alias(n) for n, g in fields.items()])
+
+
+def street_and_number(address: Column) -> dict[str, Column]:
+    """street, number and what follows it; without exactly one comma and a number after it, all is street."""
+    plain = F.trim(F.regexp_replace(address, r"\s+", " "))
+    pattern = r"^([^,]*),\s*([0-9]+)\s*(.*)$"
+    fits = plain.rlike(pattern) & (F.length(F.regexp_replace(plain, "[^,]", "")) == 1)
+    part = lambda g: F.trim(F.regexp_extract(plain, pattern, g))
+    return {"street": F.when(fits, part(1)).otherwise(plain), "number": F.when(fits, part(2)).otherwise(""), "rest": F.when(fits, part(3)).otherwise("")}
