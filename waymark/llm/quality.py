@@ -32,7 +32,14 @@ REPEAT_WORDS = 10
 UNBROKEN_WORDS = 60
 #: Lines of up to this many words may be boilerplate.
 BOILERPLATE_WORDS = 30
-BOILERPLATE = "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie|copyright|licensed under|license[,.]|sign (in|up)|log in|subscribe|click here|read more|share (this|on)|back to top|javascript)"
+#: Boilerplate phrases, fixed values, by language.
+PHRASES = {
+    "en": "all rights reserved|terms of (?:use|service)|privacy policy|cookie|copyright|licensed under|license[,.]|sign (?:in|up)|log in|subscribe|click here|read more|share (?:this|on)|back to top|javascript",
+    "fr": "tous droits réservés|conditions d'utilisation|politique de confidentialité|mentions légales|se connecter|s'abonner|cliquez ici|lire la suite|partager sur|haut de page",
+    "de": "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|impressum|anmelden|registrieren|abonnieren|hier klicken|weiterlesen|teilen auf|nach oben",
+    "es": "todos los derechos reservados|términos (?:de uso|y condiciones)|política de privacidad|aviso legal|iniciar sesión|suscríbete|haz clic aquí|leer más|compartir en|volver arriba",
+}
+BOILERPLATE = f"(?i)({'|'.join(PHRASES.values())})"
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _BREAKS = np.zeros(256, bool)
@@ -145,8 +152,9 @@ def line_quality(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, lost_chars, n_failed_lines.
 
-    Null and empty texts have no words and fail the base rule. Repeated rows give repeated rows;
-    a null doc_id stays null; other columns of ``docs`` are not read.
+    Null and empty texts have no words and fail the base rule; a text of any length is judged
+    whole. Repeated rows give repeated rows; a null doc_id stays null; other columns of ``docs``
+    are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,7 +168,9 @@ def line_quality(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept documents with all their columns; ``text`` without the failing lines.
 
-    Lines are joined by line feeds; one at the very end of a text is not kept.
+    Lines are joined by line feeds; one at the very end of a text is not kept. Null and empty
+    texts go, repeated rows stay repeated, and other columns keep their values, also under the
+    names of the figures.
     """
     names = docs.columns
 
