@@ -125,36 +125,36 @@ def chain_extensions(spark: SparkSession, d: str) -> DataFrame:
 
 def _trips(spark: SparkSession, d: str) -> DataFrame:
     e = i.deliveries(spark, d)
-    return e.select("delivery", "vehicle", F.col("planned_at").alias("arrive"), (F.col("delivery") * 29 % 101).alias("planned"), "lat", "lng", (F.col("delivery") % 4 != 0).alias("done"))
+    return e.select("delivery", "vehicle", F.col("planned_at").alias("arrive"), F.floor(F.col("planned_at") / 86400).alias("day"), (F.col("delivery") * 29 % 101).alias("planned"), "lat", "lng", (F.col("delivery") % 4 != 0).alias("done"))
 
 
-_TRIPS = f"WITH RECURSIVE {i.DELIVERIES}, trips AS (SELECT delivery, vehicle, planned_at AS arrive, delivery * 29 % 101 AS planned, delivery % 4 <> 0 AS done FROM deliveries)"
+_TRIPS = f"WITH RECURSIVE {i.DELIVERIES}, trips AS (SELECT delivery, vehicle, planned_at AS arrive, planned_at // 86400 AS day, delivery * 29 % 101 AS planned, delivery % 4 <> 0 AS done FROM deliveries)"
 
 
-@query(_TRIPS + " SELECT delivery, row_number() OVER (PARTITION BY vehicle ORDER BY arrive, planned) AS actual FROM trips WHERE done")
+@query(_TRIPS + " SELECT delivery, row_number() OVER (PARTITION BY vehicle, day ORDER BY arrive, planned) AS actual FROM trips WHERE done")
 def planned_and_actual_order(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle"], "arrive", "planned").select("delivery", F.col("actual").cast("long").alias("actual"))
+    return sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle", "day"], "arrive", "planned").select("delivery", F.col("actual").cast("long").alias("actual"))
 
 
-@query(_TRIPS + " SELECT delivery FROM (SELECT *, min(CASE WHEN done THEN planned END) OVER (PARTITION BY vehicle) AS lo, max(CASE WHEN done THEN planned END) OVER (PARTITION BY vehicle) AS hi FROM trips) WHERE NOT done AND planned > lo AND planned < hi")
+@query(_TRIPS + " SELECT delivery FROM (SELECT *, min(CASE WHEN done THEN planned END) OVER (PARTITION BY vehicle, day) AS lo, max(CASE WHEN done THEN planned END) OVER (PARTITION BY vehicle, day) AS hi FROM trips) WHERE NOT done AND planned > lo AND planned < hi")
 def skipped_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.skipped(_trips(spark, d), ["vehicle"], "planned", F.col("done")).select("delivery")
+    return sequence.skipped(_trips(spark, d), ["vehicle", "day"], "planned", F.col("done")).select("delivery")
 
 
-@query(_TRIPS + """, o AS (SELECT vehicle, planned, row_number() OVER (PARTITION BY vehicle ORDER BY arrive, planned) AS r FROM trips WHERE done),
- up(vehicle, r, planned, n) AS (SELECT vehicle, r, planned, 1 FROM o UNION SELECT o.vehicle, o.r, o.planned, up.n + 1 FROM up JOIN o ON o.vehicle = up.vehicle AND o.r > up.r AND o.planned >= up.planned),
- dn(vehicle, r, planned, n) AS (SELECT vehicle, r, planned, 1 FROM o UNION SELECT o.vehicle, o.r, o.planned, dn.n + 1 FROM dn JOIN o ON o.vehicle = dn.vehicle AND o.r > dn.r AND o.planned <= dn.planned),
- a AS (SELECT vehicle, max(n) AS u FROM up GROUP BY vehicle), b AS (SELECT vehicle, max(n) AS v FROM dn GROUP BY vehicle), c AS (SELECT vehicle, count(*) AS stops FROM o GROUP BY vehicle)
- SELECT vehicle, stops, CAST(u AS BIGINT) AS in_order, stops >= 4 AND 10 * v >= 7 * stops AND v > u AS reversed FROM c JOIN a USING (vehicle) JOIN b USING (vehicle)""")
+@query(_TRIPS + """, o AS (SELECT vehicle, day, planned, row_number() OVER (PARTITION BY vehicle, day ORDER BY arrive, planned) AS r FROM trips WHERE done),
+ up(vehicle, day, r, planned, n) AS (SELECT vehicle, day, r, planned, 1 FROM o UNION SELECT o.vehicle, o.day, o.r, o.planned, up.n + 1 FROM up JOIN o ON o.vehicle = up.vehicle AND o.day = up.day AND o.r > up.r AND o.planned >= up.planned),
+ dn(vehicle, day, r, planned, n) AS (SELECT vehicle, day, r, planned, 1 FROM o UNION SELECT o.vehicle, o.day, o.r, o.planned, dn.n + 1 FROM dn JOIN o ON o.vehicle = dn.vehicle AND o.day = dn.day AND o.r > dn.r AND o.planned <= dn.planned),
+ a AS (SELECT vehicle, day, max(n) AS u FROM up GROUP BY ALL), b AS (SELECT vehicle, day, max(n) AS v FROM dn GROUP BY ALL), c AS (SELECT vehicle, day, count(*) AS stops FROM o GROUP BY ALL)
+ SELECT vehicle, day, stops, CAST(u AS BIGINT) AS in_order, stops >= 4 AND 10 * v >= 7 * stops AND v > u AS reversed FROM c JOIN a USING (vehicle, day) JOIN b USING (vehicle, day)""")
 def order_conformity(spark: SparkSession, d: str) -> DataFrame:
-    done = sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle"], "arrive", "planned")
-    return kernels.order_conformity(done, ["vehicle"], "actual", "planned")
+    done = sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle", "day"], "arrive", "planned")
+    return kernels.order_conformity(done, ["vehicle", "day"], "actual", "planned")
 
 
 @query()
 def route_lengths(spark: SparkSession, d: str) -> DataFrame:
-    done = sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle"], "arrive", "planned")
-    return kernels.route_lengths(done, ["vehicle"], "actual", "planned")
+    done = sequence.ranked_against_plan(_trips(spark, d).where("done"), ["vehicle", "day"], "arrive", "planned")
+    return kernels.route_lengths(done, ["vehicle", "day"], "actual", "planned")
 
 
 @query()
@@ -170,22 +170,23 @@ def united_stays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs (delivery, stop) of a vehicle with their distance as cost."""
+    """Candidate pairs (delivery, stop) of a vehicle and day with their distance as cost."""
     from waymark.functions.geo import haversine
     from waymark.operators.joins import range_join
 
-    s = i.stops(spark, d).where("kind = 'STORE'").select("stop_id", "vehicle", F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
-    return range_join(i.deliveries(spark, d), s, ["vehicle"], 3000.0, haversine).select("vehicle", "delivery", "stop_id", F.floor("dist").cast("double").alias("cost"))
+    s = i.stops(spark, d).where("kind = 'STORE'").select("stop_id", "vehicle", F.floor(F.col("start") / 86400).alias("day"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
+    plan = i.deliveries(spark, d).withColumn("day", F.floor(F.col("planned_at") / 86400))
+    return range_join(plan, s, ["vehicle", "day"], 3000.0, haversine).select("vehicle", "day", "delivery", "stop_id", F.floor("dist").cast("double").alias("cost"))
 
 
 @query()
 def optimal_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.assign(_pairs(spark, d), ["vehicle"], "delivery", "stop_id", "cost")
+    return kernels.assign(_pairs(spark, d), ["vehicle", "day"], "delivery", "stop_id", "cost")
 
 
 @query()
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.greedy_pairs(_pairs(spark, d), ["vehicle"], "delivery", "stop_id", "cost")
+    return kernels.greedy_pairs(_pairs(spark, d), ["vehicle", "day"], "delivery", "stop_id", "cost")
 
 
 @query(f"""WITH {i.ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY network, store, day ORDER BY CAST(status = 'delivered' AS INT) DESC, entry) AS r FROM entries)

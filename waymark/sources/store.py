@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a local one only where it is unset (tests)."""
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; without one, a local one for a local master and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/waymark/{name}-{uuid.uuid4().hex}"
