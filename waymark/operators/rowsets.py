@@ -60,3 +60,15 @@ def principal_versions(versions: DataFrame, key: list[str]) -> DataFrame:
     """
     rank = F.when(F.col("usable"), 1).when(F.col("published"), 2).otherwise(3)
     return best_per(versions.withColumn("_order", rank), key, [F.col("_order"), F.col("created").desc()]).withColumn("official", F.col("_order") < 3).drop("_order")
+
+
+def canonical_names(df: DataFrame, catalog: DataFrame, group: str, name: str) -> DataFrame:
+    """``df`` with ``canonical``: the catalogue's name of the group whose key equals the name's, null if there is none or more than one.
+
+    ``catalog``: the group column and ``canonical``.
+    """
+    from waymark.functions.text import name_key
+
+    known = catalog.select(group, name_key(F.col("canonical")).alias("_key"), "canonical").distinct()
+    one = known.groupBy(group, "_key").agg(F.min("canonical").alias("canonical"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return df.withColumn("_key", name_key(F.col(name))).join(one, [group, "_key"], "left").drop("_key")

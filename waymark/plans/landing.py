@@ -118,3 +118,20 @@ def route_order_lines(spark: SparkSession, d: str) -> DataFrame:
     body = o.select("c", (F.col("k") + 1).alias("place"), F.concat(load, F.lit(" | "), s(F.col("k") % 50), F.lit(" | NF "), s(F.col("k"))).alias("line"))
     got = readers.blocks(head.unionByName(body), ["c"], "place", "line", {"plate": r"^CARGO VEHICLE .* - ([A-Z0-9]+)$"}, r"^([0-9]+) \| ([0-9]*[1-9][0-9]*) \| NF ([0-9]+)$", {"load": 1, "at": 2, "invoice": 3})
     return got.select("plate", "load", F.col("at").cast("long").alias("place"), F.col("invoice").cast("long").alias("invoice"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 1000 AS written FROM orders WHERE o_orderkey % 1000 >= 400")
+def purged_cache(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "cache")
+    table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1000).alias("written")).write.parquet(path)
+    sinks.purge(spark, path, F.col("written") >= 400)
+    return spark.read.schema("id long, written long").parquet(path)
+
+
+@query("""WITH c AS (SELECT s_nationkey AS net, 'Store ' || s_suppkey % 30 AS canonical FROM supplier GROUP BY ALL) SELECT c_custkey AS id, canonical FROM customer LEFT JOIN c ON net = c_nationkey AND upper(canonical) = 'STORE ' || c_custkey % 40""")
+def canonical_store_names(spark: SparkSession, d: str) -> DataFrame:
+    from waymark.operators.rowsets import canonical_names
+
+    known = table(spark, d, "supplier").select(F.col("s_nationkey").alias("net"), F.concat(F.lit("Store "), (F.col("s_suppkey") % 30).cast("string")).alias("canonical"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("net"), F.concat(F.lit("  stóre  "), (F.col("c_custkey") % 40).cast("string")).alias("name"))
+    return canonical_names(asked, known, "net", "name").select("id", "canonical")

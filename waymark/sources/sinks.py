@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from waymark.operators.rowsets import larger_version
 from waymark.sources.store import kept
@@ -48,3 +48,10 @@ def report(df: DataFrame, path: str, tab: str | None = None) -> None:
     """CSV export; ``tab`` names a column by which files are split (a tab of a workbook each)."""
     writer = df.write.mode("overwrite").option("header", True)
     (writer.partitionBy(tab) if tab else writer).csv(path)
+
+
+def purge(spark: SparkSession, path: str, keep: Column) -> None:
+    """Rewrite a cache with the rows for which ``keep`` holds; an emptied partition goes as well."""
+    old = spark.read.parquet(path)
+    left = kept(old.where(keep), "purged")
+    left.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
