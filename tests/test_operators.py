@@ -119,3 +119,19 @@ def test_canonical_json_tells_texts_from_structure(spark):
     rows = ['{"a":"1&b=2"}', '{"a":"1","b":"2"}', '{"b":"2","a":"1"}', '{"a":null}', '{"a":"null"}', "{}"]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(canonical_json(F.col("t"))).collect()]
     assert got[1] == got[2] and len(set(got)) == 5
+
+
+def test_merged_batches_go_on_after_a_restart(spark, tmp_path):
+    from waymark.streaming import day
+
+    rows, root = str(tmp_path / "rows"), f"file://{tmp_path}/state"
+    merge = lambda before, batch: (batch if before is None else before.unionByName(batch)).groupBy("k").agg(F.sum("n").cast("long").alias("n"))
+    put = lambda *r: spark.createDataFrame(list(r), "k string, n long").coalesce(1).write.mode("append").parquet(rows)
+    run = lambda: sorted(map(tuple, day.merged_batches(day.file_stream(spark, rows, "*.parquet", "k string, n long"), "sums", merge, root).collect()))
+    put()
+    put(("a", 1), ("b", 2))
+    put(("a", 10))
+    assert run() == [("a", 11), ("b", 2)]
+    assert run() == [("a", 11), ("b", 2)]  # no new batch
+    put(("c", 5))
+    assert run() == [("a", 11), ("b", 2), ("c", 5)]

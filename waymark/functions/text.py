@@ -205,8 +205,13 @@ def _jaro_winkler(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity (Spark has none built in); null if a side is null, 0 if one is empty."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype=np.float64)
+    """Jaro-Winkler similarity (Spark has none built in); null if a side is null, 0 if one is empty.
+
+    Each distinct pair of a batch is compared once.
+    """
+    pairs = list(zip(a, b))
+    known = {p: None if p[0] is None or p[1] is None else _jaro_winkler(*p) if p[0] and p[1] else 0.0 for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype=np.float64)
 
 
 def hybrid_score(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,23 +53,32 @@ def first_arrivals(stream: DataFrame, keys: list[str], t: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.min(t).alias("first"))
 
 
-def merged_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+def merged_batches(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
     """Fold each micro-batch into a snapshot table: snapshot k + 1 = merge(snapshot k, batch k).
 
     Every batch writes a new snapshot of its own number and reads the one before, so a repeated
-    batch gives the same table.
+    batch gives the same table; older snapshots are emptied. ``root`` names the folder of state
+    and snapshots: a driver that starts again with it goes on where the last one ended. Without
+    any batch the result is what an empty batch gives.
     """
     spark = stream.sparkSession
-    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    last = [-1]
+    root = root or shared_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{out}/{number - 1}") if number else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{out}/{number}")
-        last[0] = number
-
-    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(f"{out}/{last[0]}")
+        session = batch.sparkSession
+        before = session.read.parquet(f"{root}/{number - 1}") if number else None
+        merge(before, batch).write.mode("overwrite").parquet(f"{root}/{number}")
+        session.range(number, number + 1).write.mode("overwrite").parquet(f"{root}/last")
+        if number > 1:
+            old = session.read.parquet(f"{root}/{number - 2}")
+            session.createDataFrame([], old.schema).write.mode("overwrite").parquet(f"{root}/{number - 2}")
+
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    try:
+        last = spark.read.schema("id long").parquet(f"{root}/last").first().id
+    except AnalysisException:  # there was never a batch
+        return merge(None, spark.createDataFrame([], stream.schema))
+    return spark.read.parquet(f"{root}/{last}")
 
 
 def outage_alerts(stream: DataFrame, key: str, t: str, failing: str, minutes: int = 60, first_hour: int = 5, last_hour: int = 20) -> DataFrame:
