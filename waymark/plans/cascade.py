@@ -75,7 +75,7 @@ def layer_neighbour(spark: SparkSession, d: str) -> DataFrame:
 _PENDING = "base2 AS (SELECT * REPLACE (CASE WHEN load % 3 = 0 THEN 'pending' ELSE status END AS status) FROM base)"
 
 
-@query(_ROWS + f""", {_PENDING}, total AS (SELECT load, count(*) AS n FROM base2 GROUP BY 1 HAVING bool_and(status = 'pending')), met AS (SELECT delivery, load, v AS by, start, d, stop_id FROM (SELECT *, {_H} AS d FROM base2, s WHERE vehicle <> v AND status = 'pending') WHERE d <= 1500),
+@query(_ROWS + f""", {_PENDING}, total AS (SELECT load, count(*) AS n FROM base2 GROUP BY 1 HAVING bool_and(status = 'pending')), met AS (SELECT delivery, load, v AS by, start, d, stop_id FROM (SELECT *, {_H} AS d FROM base2, s WHERE vehicle <> v AND status = 'pending' AND start // 86400 = planned_at // 86400) WHERE d <= 1500),
  near AS (SELECT load, by, delivery, start, d FROM met QUALIFY row_number() OVER (PARTITION BY load, by, delivery ORDER BY d, stop_id) = 1), cover AS (SELECT load, by, count(*) AS c FROM near JOIN total USING (load) GROUP BY load, by, n HAVING count(*) >= 2 AND 100 * count(*) >= 50 * n),
  top AS (SELECT load, by FROM cover QUALIFY row_number() OVER (PARTITION BY load ORDER BY c DESC, by DESC) = 1), hit AS (SELECT delivery, start, d FROM near JOIN top USING (load, by))
  SELECT delivery, CASE WHEN h.start IS NOT NULL THEN 'rotation' ELSE kind END AS kind, CASE WHEN h.start IS NOT NULL THEN 'confirmed' ELSE status END AS status, coalesce(h.start, at) AS at, {i.hundredths_sql('coalesce(h.d, dist)')} AS dist, CASE WHEN h.start IS NOT NULL THEN 'rotation' WHEN t.by IS NOT NULL THEN 'plan plate did not pass' END AS note
