@@ -150,7 +150,7 @@ def layer_marks(spark: SparkSession, d: str) -> DataFrame:
  snug AS (SELECT * FROM m WHERE dist <= 400 AND stay >= 180 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY stay DESC, stop_id) = 1),
  l AS (SELECT far.delivery, coalesce(near.stop_id, far.stop_id) AS stop_id, coalesce(near.start, far.start) AS start, coalesce(near.dist, far.dist) AS dist, coalesce(near.stay, far.stay) AS stay, CASE WHEN near.delivery IS NULL THEN 'wide' ELSE 'ring' END AS via FROM far LEFT JOIN near USING (delivery)),
  b AS (SELECT l.delivery, CASE WHEN c THEN k.stop_id ELSE l.stop_id END AS stop_id, CASE WHEN c THEN k.start ELSE l.start END AS start, CASE WHEN c THEN k.dist ELSE l.dist END AS dist, via FROM (SELECT *, delivery AS x FROM l) l LEFT JOIN snug k USING (delivery), LATERAL (SELECT coalesce(NOT (l.dist <= 400 AND l.stay >= 180) AND l.dist - k.dist > 50, false) AS c) q),
- alt AS (SELECT delivery, stop_id, start, d AS dist, e - start AS stay FROM (SELECT delivery, stop_id, start, e, {i.haversine_sql('lat + 0.02e0', 'lng', 'lat_r', 'lng_r')} AS d FROM deliveries JOIN s ON vehicle = v WHERE delivery NOT IN (SELECT delivery FROM b)) WHERE d <= 900 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY stay DESC, stop_id) = 1)
+ alt AS (SELECT delivery, stop_id, start, d AS dist, e - start AS stay FROM (SELECT delivery, stop_id, start, e, {i.haversine_sql('(lat + 0.02e0)', 'lng', 'lat_r', 'lng_r')} AS d FROM deliveries JOIN s ON vehicle = v WHERE delivery NOT IN (SELECT delivery FROM b)) WHERE d <= 900 QUALIFY row_number() OVER (PARTITION BY delivery ORDER BY stay DESC, stop_id) = 1)
  SELECT delivery, stop_id, start, {i.hundredths_sql('dist')} AS dist, via FROM b UNION ALL SELECT delivery, stop_id, start, {i.hundredths_sql('dist')}, 'alternate' FROM alt""")
 def inclusive_visits(spark: SparkSession, d: str) -> DataFrame:
     plan = i.deliveries(spark, d)
