@@ -26,9 +26,9 @@ def days(spark: SparkSession, path: str, first: str, last: str, column: str = "d
 
 
 def document_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, line_no, line) of plain-text documents, one file a row first (``wholetext``)."""
+    """(path, line_no, line) of plain-text documents, one file a row first (``wholetext``); a line feed at the end begins no line."""
     whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "line"))
 
 
 def renamed(df: DataFrame, wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
