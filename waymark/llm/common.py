@@ -6,6 +6,8 @@ cluster names in ``spark.checkpoint.dir``; that cuts lineage and survives lost e
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,6 +70,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and its next task may be another one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of other systems has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most ``size`` bytes of text (one text at least)."""
     for batch in batches:
@@ -80,7 +89,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = STE
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
-    pa.default_memory_pool().release_unused()  # the worker lives on and its next task may be another one
+    give_back()
 
 
 def over_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import over_arrow, released, small, stored
+from waymark.llm.common import give_back, over_arrow, released, small, stored
 from waymark.llm.components import components
 from waymark.llm.textkernel import gather, mix, shingle_sets
 
@@ -282,6 +282,7 @@ def _merged(rows: DataFrame, percent: int) -> DataFrame:
                 yield table(out)
         if held:
             yield table(links_of(held))
+        give_back()
 
     return dealt.select(*keys, "side", "doc", "n", "grp", "main", "signature", "items").mapInArrow(run, "src long, dst long")
 
