@@ -74,11 +74,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data, op11_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from waymark.llm import urlfilter
+    from waymark.llm import phrases, urlfilter
 
-    return {"op6_url_redirect_equivalence": urlfilter.ORACLE}
+    return {"op6_url_redirect_equivalence": urlfilter.ORACLE, "op11_phrase_collocations": phrases.ORACLE}
