@@ -80,11 +80,17 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data, op11_phrase_collocations)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data, op11_phrase_collocations, op12_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from waymark.llm import phrases, urlfilter
+    from waymark.llm import phrases, trie, urlfilter
 
-    return {"op6_url_redirect_equivalence": urlfilter.ORACLE, "op11_phrase_collocations": phrases.ORACLE}
+    return {"op6_url_redirect_equivalence": urlfilter.ORACLE, "op11_phrase_collocations": phrases.ORACLE, "op12_conversation_trie": trie.ORACLE}
