@@ -86,8 +86,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.pagetext import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data, op11_phrase_collocations, op12_conversation_trie)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_toxicity, op4_packed_token_rows, op5_line_quality, op6_url_redirect_equivalence, op7_balanced_label_propagation, op8_min_slack_packing, op9_pruned_graph_neighbours, op10_personal_data, op11_phrase_collocations, op12_conversation_trie, op13_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
