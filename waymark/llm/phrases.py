@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_ROWS, released, steps, stored, text_buffer
+from waymark.llm.common import BROADCAST_ROWS, released, small, steps, stored, text_buffer
 
 #: Words of the longest candidate.
 LONGEST = 4
@@ -31,9 +31,8 @@ LONGEST = 4
 PREFIX_ROWS = 8_000_000
 #: Occurrences that a shuffle partition is planned for.
 PARTITION_ROWS = 2_000_000
-#: Bytes of frequent words that may be broadcast, and rows of prefixes or phrases, of up to 150 bytes each.
+#: Bytes of frequent words that may be broadcast.
 BROADCAST_BYTES = 32 << 20
-BROADCAST_PHRASES = 200_000
 _STEP = 4 << 20
 _INSIDE, _SPACE, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
@@ -74,10 +73,6 @@ def _langs(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _few(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_PHRASES else table
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in steps(batches, "text", _STEP):
         pieces, (lang, langs) = Pieces(step.column("text")), _langs(step.column("lang"))
@@ -265,7 +260,7 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, least: int = 30, prefix
         total, largest, many = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0)), F.count("*")).first()
         if not many:
             break
-        state = state.join(_few(sizes, many), ["lang", "prefix"])
+        state = state.join(small(sizes, many), ["lang", "prefix"])
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_ROWS)
         cold = state.where(F.col("total") <= prefix_rows).select("lang", "prefix", "follows").repartition(parts, "lang", "prefix").sortWithinPartitions("lang", "prefix")
         found.append(cold.mapInArrow(_mined(kind, least), _PATTERN))
@@ -281,7 +276,7 @@ def frequent_phrases(docs: DataFrame, counts: DataFrame, least: int = 30, prefix
     patterns = stored(patterns, "patterns")
     released(*spent)
     for k in range(LONGEST):
-        patterns = patterns.join(_few(ids.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}")), rows), F.get("prefix", F.lit(k)) == F.col(f"id{k}"), "left").drop(f"id{k}")
+        patterns = patterns.join(small(ids.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}")), rows), F.get("prefix", F.lit(k)) == F.col(f"id{k}"), "left").drop(f"id{k}")
     phrase = F.concat_ws(" ", *[f"word{k}" for k in range(LONGEST)])
     return singles.unionByName(patterns.select("lang", phrase.alias("phrase"), F.size("prefix").alias("words"), F.col("n").alias("f")))
 
@@ -299,8 +294,7 @@ def collocations(docs: DataFrame, least: int = 30, absorbed: int = 80, first: in
     """
     counts = stored(word_counts(docs), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = stored(frequent_phrases(docs, counts, least, prefix_rows, broadcast_rows), "phrases")
-    rows = known.count()
+    known = stored(frequent_phrases(docs, counts, least, prefix_rows, broadcast_rows), "phrases")  # grows with the corpus: never broadcast
     longer = known.where("words >= 2")
     # of each phrase the largest count of a longer candidate around it
     inner = F.expr(f"flatten(transform(sequence(2, {LONGEST - 1}), m -> if(m < words, transform(sequence(1, words - m + 1), k -> array_join(slice(split(phrase, ' '), k, m), ' ')), array())))")
@@ -309,7 +303,7 @@ def collocations(docs: DataFrame, least: int = 30, absorbed: int = 80, first: in
     kept = longer.join(around, ["lang", "phrase"], "left").where(F.col("around").isNull() | (wide("around") * 100 < wide("f") * absorbed))
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.expr("sequence(1, words - 1)")).alias("k"))
     cuts = cuts.withColumn("head", _part(F.lit(1), F.col("k"))).withColumn("tail", _part(F.col("k") + 1))
-    side = lambda key, f: _few(known.select("lang", F.col("phrase").alias(key), F.col("f").alias(f)), rows)
+    side = lambda key, f: known.select("lang", F.col("phrase").alias(key), F.col("f").alias(f))
     scored = cuts.join(side("head", "l"), ["lang", "head"]).join(side("tail", "r"), ["lang", "tail"])
     scored = scored.withColumn("score", F.expr("(cast(a as decimal(31,0)) * 2000000) div (cast(l as decimal(37,0)) + r)"))
     worst = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
