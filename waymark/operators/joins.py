@@ -201,6 +201,26 @@ def only_leader(ranked: DataFrame, group: str, score: str) -> DataFrame:
     return top.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_top", "_n")
 
 
+def mutual_best(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
+    """Pairs by rising ``order`` (then left, then right), each taken if both sides are still free.
+
+    Rounds of two aggregations and two anti-joins: a pair that is the first of both its sides is
+    taken, and its sides leave. Groups may have any size, and no key is gathered in one task.
+    """
+    from waymark.sources.store import kept
+
+    key = F.struct(*dict.fromkeys([*order, left, right]))
+    open_, found = kept(pairs, "pairs"), pairs.limit(0)
+    while True:
+        one = open_.groupBy(left).agg(F.min(key).alias("_k"))
+        two = open_.groupBy(right).agg(F.min(key).alias("_k"))
+        first = kept(one.select("_k").join(two.select("_k"), "_k").select(f"_k.{left}", f"_k.{right}"), "first")
+        if first.isEmpty():
+            return found
+        found = found.unionByName(open_.join(first, [left, right]).select(*pairs.columns))
+        open_ = kept(open_.join(first.select(left), left, "left_anti").join(first.select(right), right, "left_anti"), "pairs")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``."""
     return best_per(df, keys, [F.col(c).desc() for c in order])
