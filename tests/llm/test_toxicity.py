@@ -1,21 +1,31 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from tests.llm.common import odd_documents
 from waymark.llm import toxicity
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, two swapped neighbours being one."""
+    before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                new[-1] = min(new[-1], before[j - 2] + 1)
+        before, row = row, new
     return row[-1]
 
 
+def slip(rng, word):
+    """Sometimes two neighbours swapped."""
+    i = rng.randrange(max(1, len(word) - 1))
+    return word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :] if rng.random() < 0.3 else word
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(1)
     entries = ["grublex", "snarfel", "zortplin"]
@@ -25,7 +35,7 @@ def test_automaton_equals_edit_distance():
         for _ in range(rng.randint(0, 3)):
             i = rng.randrange(len(word) + 1)
             word[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("abgrslx")])
-        word = "".join(word)
+        word = slip(rng, "".join(word))
         assert trie.misspelt(word) == any(distance(word, e) <= 1 for e in entries), word
 
 
@@ -37,7 +47,7 @@ def test_stems_match_beginnings():
 
 def test_context_tells_quotation():
     got = toxicity.features(pa.array(['He said "you grublex" to me', "you grublex fool", "a grublx here", "fine", None]), frozenset(["grublex"]), frozenset())
-    assert got.tolist() == [[0, 0, 1, 0], [1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
+    assert got[:, :4].tolist() == [[0, 0, 1, 0], [1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
 
 
 def test_held_out_accuracy(spark):
@@ -101,7 +111,7 @@ def test_automaton_equals_edit_distance_on_short_entries():
         for _ in range(rng.randint(0, 3)):
             i = rng.randrange(len(word) + 1)
             word[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice("acmnorsu")])
-        word = "".join(word)
+        word = slip(rng, "".join(word))
         assert trie.misspelt(word) == any(distance(word, e) <= 1 for e in entries), word
 
 
@@ -119,3 +129,15 @@ def test_filter_passes_all_that_the_automaton_finds():
     passed = trie.filter.passes(words)
     assert all(p for w, p in zip(words, passed) if trie.kind(w) or trie.near(w))
     assert 100 < passed.sum() < len(words) - 100
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_learnt_model_weighs_misspelling_and_quotation(spark, sf):
+    """With the model learnt from a whole table: one insult is enough, misspelt too, and quoted it scores lower."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    score = lambda *texts: model.scores(pa.array(texts)).tolist()
+    for word, wrong in (("disgusting", ("disgustng", "digsusting", "disgust1ng")), ("idiot", ("idoit", "idiiot")), ("stupid", ("stuipd", "stupld"))):
+        plain, quoted, fine = score(f"you are {word} they know", f'she said "{word}" to them', "they know of it")
+        assert plain >= 0.5 > quoted > fine, (word, plain, quoted, fine)
+        assert all(quoted < x <= plain + 1e-9 and x >= 0.5 for x in score(*(f"you are {w} they know" for w in wrong))), word

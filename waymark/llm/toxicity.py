@@ -29,6 +29,9 @@ MIN_ODDS = 25.0
 #: Minima that texts must have in common to count as copies: at similarity 0.75 one of the
 #: keys of this many agrees with a probability of 0.994, at 0.3 of 0.02.
 COPY_WIDTH = 6
+#: An entry is strong, one hit being evidence enough, if at least this share of its texts is expected to be toxic;
+#: as many texts as PRIOR_TEXTS are counted in that are toxic as often as those of entries are in the half that didn't choose them.
+STRONG, PRIOR_TEXTS = 0.97, 10
 STEM_LENGTHS = range(4, 8)
 #: Without known clean forms, only entries of at least this length match words one edit away.
 FUZZY_LENGTH = 6
@@ -121,15 +124,15 @@ class Trie:
     """Lexicon entries: whole words and stems.
 
     ``clean``: the keys (see near()) of entries' misspellings that clean texts use. They are no
-    hits; where they are known, entries of any length match words one edit away.
+    hits; where they are known, entries of any length match words one edit away. An edit is a character changed,
+    cut or added, or two neighbours swapped. ``strong``: the entries of which one hit, misspelt or not, is evidence enough.
     """
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str], clean: frozenset[tuple[str, bool]] | None = None) -> None:
-        self.words, self.stems = frozenset(words), frozenset(stems)
+    def __init__(self, words: Iterable[str], stems: Iterable[str], clean: frozenset[tuple[str, bool]] | None = None, strong: frozenset[str] = frozenset()) -> None:
+        self.words, self.stems, self.strong = frozenset(words), frozenset(stems), strong
         self.lengths = sorted({len(s) for s in self.stems})
         self.clean = clean or frozenset()
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
         self.known: dict[str, int] = {}
         self.keys: dict[str, set[tuple[str, bool]]] = {}
         shortest = FUZZY_LENGTH if clean is None else 1
@@ -138,10 +141,7 @@ class Trie:
             node = self.root
             for c in entry:
                 node = node.setdefault(c, {})
-            node[""] = stem
-            half = len(entry) // 2
-            self.heads.add(entry[:half])
-            self.tails.add(entry[half:])
+            node[""] = (entry, stem)
         self.shortest = min((len(e) for e, _ in entries), default=0)
         # what an entry leaves with a character blanked or cut; starts of words are looked up there before the walk
         self.whole = {e for e, _ in entries}
@@ -149,17 +149,26 @@ class Trie:
         self.cuts = {e[:i] + e[i + 1 :] for e in self.whole for i in range(len(e))}
         self.starts = sorted({len(e) + d for e, stem in entries if stem for d in (-1, 0, 1)})
         self.filter = Filter(self.words, self.stems)
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
 
     def exact(self, word: str) -> bool:
         return word in self.words or any(word[:n] in self.stems for n in self.lengths)
 
+    def entries(self, word: str) -> set[str]:
+        """The entries that the word is or begins with."""
+        return ({word} & self.words) | {word[:n] for n in self.lengths if word[:n] in self.stems}
+
     def kind(self, word: str) -> int:
-        """1 for an entry or a word that reads as one, 2 for a misspelt entry, else 0."""
+        """1 for an entry or a word that reads as one, 2 for a misspelt entry, 2 more for strong entries, else 0."""
         got = self.known.get(word)
         if got is None:
-            got = 1 if self.exact(word) or self._reads(word) and (word, False) not in self.clean else 2 if self.misspelt(word) else 0
+            met = self.entries(word)
+            if not met and (word, False) not in self.clean:
+                met = set().union(*map(self.entries, looks(word)))
+            got = 1 if met else 0
+            if not met:
+                met = {entry for key, entry in self._near(word) if key not in self.clean}
+                got = 2 if met else 0
+            got += 2 * bool(met & self.strong)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = got
@@ -167,13 +176,13 @@ class Trie:
 
     def misspelt(self, word: str) -> bool:
         """Whether an entry lies one edit away, look-alike characters being none, and clean texts don't write so."""
-        return any(key not in self.clean for key in self._near(word))
+        return any(key not in self.clean for key, _ in self._near(word))
 
     def near(self, word: str) -> set[tuple[str, bool]]:
         """Keys by which a word that is no entry misspells entries: (the word, False) for all of it, (its beginning, True) for stems."""
         got = self.keys.get(word)
         if got is None:
-            got = set() if self.exact(word) else ({(word, False)} if self._reads(word) else set()) | set(self._near(word))
+            got = set() if self.exact(word) else ({(word, False)} if self._reads(word) else set()) | {key for key, _ in self._near(word)}
             if len(self.keys) >= REMEMBERED:
                 self.keys.clear()
             self.keys[word] = got
@@ -186,23 +195,11 @@ class Trie:
         if len(word) < self.shortest - 1 or not self.root:
             return
         for form in {word, *looks(word)}:
-            if self._possible(form) and self._close(form):
-                yield from ((word[:n], stem) for n, stem in self._walk(form))
-
-    def _possible(self, word: str) -> bool:
-        """One half of an entry that lies one edit away is always intact."""
-        if any(word[:n] in self.heads for n in self.head_sizes):
-            return True
-        for n in self.tail_sizes:
-            if word[-n:] in self.tails:
-                return True
-            # the stem's second half stands after its first, moved by one at most
-            if any(word[a : a + n] in self.tails for a in (n - 2, n - 1, n, n + 1) if a >= 0):
-                return True
-        return False
+            if self._close(form):
+                yield from (((word[:n], stem), entry) for n, stem, entry in self._walk(form))
 
     def _close(self, word: str) -> bool:
-        """Whether the word or a start of it is an entry with at most one character changed, cut or added."""
+        """Whether the word or a start of it is an entry with at most one edit."""
         for start in {word, *(word[:n] for n in self.starts)}:
             if start in self.cuts or start in self.whole:
                 return True
@@ -210,30 +207,37 @@ class Trie:
                 head, tail = start[:i], start[i + 1 :]
                 if f"{head}\0{tail}" in self.blanks or head + tail in self.whole:
                     return True
+                if tail and head + tail[0] + start[i] + tail[1:] in self.whole:
+                    return True
         return False
 
     def _walk(self, word: str):
-        """(length, is stem) of the word's beginnings one edit away from entries, one for each entry.
+        """(length, is stem, entry) of the word's beginnings one edit away from entries.
 
-        The automaton's states are rows of edit distances to the word's prefixes, cut at 2.
+        The automaton's states are rows of edit distances to the word's prefixes, cut at 2; a state
+        knows the row before it and the character between them, for swapped neighbours.
         """
-        stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)), 0)]
+        stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)), 0, None, "")]
         while stack:
-            node, row, depth = stack.pop()
-            stem = node.get("")
-            if stem:
-                size = next((n for n in (depth, depth + 1, depth - 1) if 0 <= n < len(row) and row[n] <= 1), None)
-                if size is not None:
-                    yield size, True
-            elif stem is not None and row[-1] <= 1:
-                yield len(word), False
+            node, row, depth, before, last = stack.pop()
+            if "" in node:
+                entry, stem = node[""]
+                if stem:
+                    size = next((n for n in (depth, depth + 1, depth - 1) if 0 <= n < len(row) and row[n] <= 1), None)
+                    if size is not None:
+                        yield size, True, entry
+                elif row[-1] <= 1:
+                    yield len(word), False, entry
             for c, child in node.items():
                 if c:
                     new = [min(row[0] + 1, 2)]
                     for i, w in enumerate(word):
-                        new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c), 2))
-                    if min(new) <= 1:
-                        stack.append((child, tuple(new), depth + 1))
+                        step = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c), 2)
+                        if before and i and w == last and word[i - 1] == c:
+                            step = min(step, before[i - 1] + 1)
+                        new.append(step)
+                    if min(new) <= 1 or min(row) == 0:
+                        stack.append((child, tuple(new), depth + 1, row, c))
 
 
 def terms_of(words: list[str]) -> list[list[tuple[str, bool]]]:
@@ -263,10 +267,10 @@ def _counted(batch: pa.RecordBatch, terms: Callable[[list[str]], list[Iterable[t
     groups = batch.column("copy_of").dictionary_encode()
     group = groups.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
     toxic = batch.column("toxic").to_numpy().astype(np.int64)
-    many = 2 * (len(groups.dictionary) + 1)
-    key, n = np.unique(term * many + 2 * group[text] + toxic[text], return_counts=True)
+    many = 4 * (len(groups.dictionary) + 1)
+    key, n = np.unique(term * many + 4 * group[text] + toxic[text], return_counts=True)
     term, rest = np.divmod(key, many)
-    group = rest // 2
+    group = rest // 4
     n[group > 0] = 1  # copies count as one text
     names = pa.array([t for t, _ in known], pa.string())
     stems = pa.array([s for _, s in known], pa.bool_())
@@ -274,7 +278,7 @@ def _counted(batch: pa.RecordBatch, terms: Callable[[list[str]], list[Iterable[t
         part = slice(a, a + HELD_TERMS)
         at = pa.array(term[part])
         copies = groups.dictionary.take(pa.array(group[part] - 1, mask=group[part] == 0)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([names.take(at), stems.take(at), pa.array(rest[part] % 2), copies, pa.array(n[part])], ["term", "stem", "toxic", "copy_of", "n"])
+        yield pa.RecordBatch.from_arrays([names.take(at), stems.take(at), pa.array(rest[part] % 4), copies, pa.array(n[part])], ["term", "stem", "toxic", "copy_of", "n"])
 
 
 def word_forms(found: Words) -> tuple[np.ndarray, list[str]]:
@@ -286,7 +290,7 @@ def word_forms(found: Words) -> tuple[np.ndarray, list[str]]:
 
 
 def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tuple[str, bool]]]] = terms_of) -> DataFrame:
-    """term, stem, found, against: how many toxic and clean texts have each term, copies (``copy_of``) as one.
+    """term, stem, found, against and the same of each half (found0, ...): how many toxic and clean texts have each term, copies (``copy_of``) as one.
 
     ``terms`` names the terms of each of a list of words.
     """
@@ -295,14 +299,15 @@ def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tu
         for batch in steps(batches, size=COUNTED_BYTES):
             yield from _counted(batch, terms)
 
-    each = texts.select("text", F.col("toxic").cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
+    each = texts.select("text", (F.col("toxic") + 2 * F.col("half")).cast("long").alias("toxic"), "copy_of").mapInArrow(count, "term string, stem boolean, toxic long, copy_of long, n long")
     each = each.groupBy("term", "stem", "toxic", "copy_of").agg(F.sum("n").alias("n"))
     one = F.when(F.col("copy_of").isNull(), F.col("n")).otherwise(1)
-    return each.groupBy("term", "stem").agg(*[F.sum(F.when(F.col("toxic") == t, one).otherwise(0)).alias(c) for t, c in ((1, "found"), (0, "against"))])
+    halves = each.groupBy("term", "stem").agg(*[F.sum(F.when(F.col("toxic") == t, one).otherwise(0)).alias(c) for t, c in enumerate(("against0", "found0", "against1", "found1"))])
+    return halves.withColumns({c: F.col(f"{c}0") + F.col(f"{c}1") for c in ("found", "against")})
 
 
 def with_copies(rows: DataFrame) -> DataFrame:
-    """Distinct text, toxic, times (rows), and copy_of: a number that near-equal texts have in common, null for a text without copies."""
+    """Distinct text, toxic, times (rows), copy_of (a number that near-equal texts have in common, null for a text without copies) and half (0 or 1, alike for copies)."""
 
     def keys(batches):
         for batch in steps(batches):
@@ -318,7 +323,7 @@ def with_copies(rows: DataFrame) -> DataFrame:
     held = stored(texts.select("text", "id").dropDuplicates(["id"]).mapInArrow(keys, "id long, key long"), "copies")
     first = held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = components(held.join(first, "key").select(F.col("id").alias("src"), F.col("first").alias("dst")), native=False)
-    return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "times", "copy_of")
+    return texts.join(groups.select(F.col("node").alias("id"), F.col("component").alias("copy_of")), "id", "left").select("text", "toxic", "times", "copy_of", F.pmod(F.coalesce("copy_of", "id"), F.lit(2)).alias("half"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: bool | None = False) -> DataFrame:
@@ -333,53 +338,88 @@ def in_fold(column: str):
     return F.crc32(F.col(column).cast("string")) % 5 == 0
 
 
-def _sizes(texts: DataFrame) -> tuple[int, int]:
-    """How many toxic and clean texts there are, copies as one."""
-    sizes = texts.groupBy("toxic").agg(F.sum(F.col("copy_of").isNull().cast("long")).alias("alone"), F.countDistinct("copy_of").alias("groups")).collect()
-    n = {int(r.toxic): r.alone + r.groups for r in sizes}
-    return n.get(1, 0), n.get(0, 0)
+def _sizes(texts: DataFrame) -> dict[str, tuple[int, int]]:
+    """How many toxic and clean texts there are in both halves and in each, copies as one."""
+    sizes = texts.groupBy("half", "toxic").agg(F.sum(F.col("copy_of").isNull().cast("long")).alias("alone"), F.countDistinct("copy_of").alias("groups")).collect()
+    n = {(r.half, int(r.toxic)): r.alone + r.groups for r in sizes}
+    each = {str(h): (n.get((h, 1), 0), n.get((h, 0), 0)) for h in (0, 1)}
+    return each | {"": tuple(map(sum, zip(*each.values())))}
+
+
+def _odds(found, against, n_toxic: int, n_clean: int):
+    return (found + 0.5) / (against + 0.5) * (n_clean / n_toxic)
+
+
+class Lexicon:
+    """Entries, the strong ones among them, and the misspellings that clean texts use; an entry that has any isn't strong."""
+
+    def __init__(self, words: frozenset[str] = frozenset(), stems: frozenset[str] = frozenset(), strong: frozenset[str] = frozenset(), clean: frozenset[tuple[str, bool]] = frozenset()) -> None:
+        self.words, self.stems, self.strong = words, stems, strong
+        self.used(clean)
 
+    def used(self, clean: frozenset[tuple[str, bool]]) -> None:
+        """Take over the misspellings that clean texts use."""
+        trie = _trie(self.words, self.stems, frozenset())
+        self.clean, self.strong = clean, self.strong - {entry for form, _ in clean for _, entry in trie._near(form)}
 
-def _odds(n_toxic: int, n_clean: int):
-    return (F.col("found") + 0.5) / (F.col("against") + 0.5) * (n_clean / n_toxic)
+    def features(self, column: pa.Array) -> np.ndarray:
+        return features(column, self.words, self.stems, self.clean, self.strong)
 
 
 def learn_lexicon(train: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """(words, stems) from labelled texts; copies count once."""
     texts = stored(with_copies(train), "texts")
-    return _lexicon(texts, *_sizes(texts))
+    found = _lexicons(texts, _sizes(texts), ("",))[""]
+    return found.words, found.stems
 
 
-def _lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> tuple[frozenset[str], frozenset[str]]:
-    """A term is an entry by its own evidence: MIN_TEXTS toxic texts, MIN_ODDS, and a large-deviation
-    bound by which all terms that chance alone would accept are one in number. Only accepted terms
-    reach the driver.
+def _lexicons(texts: DataFrame, sizes: dict[str, tuple[int, int]], parts: tuple[str, ...]) -> dict[str, Lexicon]:
+    """The lexicon of all texts ("") and of the halves asked for, from one count.
+
+    A term is an entry by its own evidence: MIN_TEXTS toxic texts, MIN_ODDS, and a large-deviation
+    bound by which all terms that chance alone would accept are one in number. It is strong if its expected share of
+    toxic texts is STRONG. Only accepted terms reach the driver.
     """
-    if not n_toxic or not n_clean:
-        return frozenset(), frozenset()
+    if not all(min(sizes[p]) for p in parts):
+        return {p: Lexicon() for p in parts}
     tried = stored(_term_counts(texts).where(F.col("found") >= MIN_TEXTS), "terms")
-    bar, base = float(np.log(max(tried.count(), 1))), n_toxic / (n_toxic + n_clean)
-    found, against = F.col("found"), F.col("against")
-    share = found / (found + against)
-    clean = F.when(against > 0, against * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    good = tried.where((_odds(n_toxic, n_clean) >= MIN_ODDS) & (found * F.log(share / base) + clean >= bar))
-    entries = {(r.term, r.stem): r.found for r in good.select("term", "stem", "found").collect()}
+    many, rows = float(np.log(max(tried.count(), 1))), {}
+    for p in parts:
+        base = sizes[p][0] / sum(sizes[p])
+        found, against = F.col(f"found{p}"), F.col(f"against{p}")
+        share = found / (found + against)
+        clean = F.when(against > 0, against * F.log((1 - share) / (1 - base))).otherwise(0.0)
+        good = tried.where((found >= MIN_TEXTS) & (_odds(found, against, *sizes[p]) >= MIN_ODDS) & (found * F.log(share / base) + clean >= many))
+        rows[p] = good.select("term", "stem", found.alias("mine"), against.alias("clean"), "found0", "against0", "found1", "against1").collect()
+    other = [(getattr(r, f"found{q}"), getattr(r, f"against{q}")) for p, q in (("0", "1"), ("1", "0")) for r in rows.get(p, ())]
+    usual = (sum(f for f, _ in other) + 1) / (sum(f + g for f, g in other) + 1)
+    out = {}
+    for p in parts:
+        words, stems = reduced({(r.term, r.stem): r.mine for r in rows[p]})
+        sure = frozenset(r.term for r in rows[p] if (r.mine + usual * PRIOR_TEXTS) / (r.mine + r.clean + PRIOR_TEXTS) >= STRONG)
+        out[p] = Lexicon(words, stems, sure & (words | stems))
     released(tried)
-    return reduced(entries)
+    return out
 
 
-def _clean_forms(texts: DataFrame, words: frozenset[str], stems: frozenset[str], n_toxic: int, n_clean: int) -> dict[tuple[str, bool], int]:
-    """Keys of misspellings that clean texts use, and how many do. An entry has few keys: its own length in characters, one changed."""
+def _clean_forms(texts: DataFrame, lexicons: dict[str, Lexicon], sizes: dict[str, tuple[int, int]]) -> dict[str, dict[tuple[str, bool], int]]:
+    """Of each lexicon, the keys of misspellings that its clean texts use, and how many do. An entry has few keys: its own length in characters, one changed."""
+    words, stems = (frozenset().union(*(getattr(x, part) for x in lexicons.values())) for part in ("words", "stems"))
     if not (words or stems):
-        return {}
+        return {p: {} for p in lexicons}
 
     def near(known: list[str]) -> list[Iterable[tuple[str, bool]]]:
         trie = _trie(words, stems, frozenset())
         return [trie.near(w) if close else () for w, close in zip(known, trie.filter.passes(known))]
 
-    counts = _term_counts(texts, near)
-    rows = counts.where((F.col("against") > 0) & (_odds(n_toxic, n_clean) < MIN_ODDS)).collect()
-    return {(r.term, r.stem): r.against for r in rows}
+    counts = stored(_term_counts(texts, near), "forms")
+    out = {}
+    for p in lexicons:
+        found, against = F.col(f"found{p}"), F.col(f"against{p}")
+        rows = counts.where((against > 0) & (_odds(found, against, *sizes[p]) < MIN_ODDS)).select("term", "stem", against.alias("n")).collect()
+        out[p] = {(r.term, r.stem): r.n for r in rows}
+    released(counts)
+    return out
 
 
 def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozenset[str]]:
@@ -404,19 +444,19 @@ def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozense
     return frozenset(words), frozenset(stems)
 
 
-@lru_cache(maxsize=2)
-def _trie(words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None) -> Trie:
-    return Trie(words, stems, clean)
+@lru_cache(maxsize=3)
+def _trie(words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None, strong: frozenset[str] = frozenset()) -> Trie:
+    return Trie(words, stems, clean, strong)
 
 
-FEATURES = ["plain", "fuzzy", "quoted", "you"]
+FEATURES = ["plain", "fuzzy", "quoted", "you", "sure", "sure_fuzzy", "sure_quoted"]
 
 
-def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None) -> np.ndarray:
-    """Per text: plain hits (at most 3), misspelt hits (2), quoted hits (2), whether a hit addresses someone."""
-    trie = _trie(words, stems, clean)
+def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None, strong: frozenset[str] = frozenset()) -> np.ndarray:
+    """Per text: plain hits (3 or more are 3), misspelt hits (2), quoted hits (2), whether a hit addresses someone, and whether a strong entry is hit plainly, misspelt or quoted."""
+    trie = _trie(words, stems, clean, strong)
     n = len(column)
-    out = np.zeros((n, 4), np.int64)
+    out = np.zeros((n, len(FEATURES)), np.int64)
     found = Words(column, lower=False)
     if not len(found.begin):
         return out
@@ -435,69 +475,101 @@ def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], cle
         near = mark[code[low:high]]
         here = at - low
         quoted = bool((near[: here + 1] & 1).any() and (near[here:] & 2).any()) or bool((near[max(0, here - 3) : here] & 4).any())
-        if quoted:
-            out[t, 2] = min(out[t, 2] + 1, 2)
-        elif kind[code[at]] == 1:
-            out[t, 0] = min(out[t, 0] + 1, 3)
-        else:
-            out[t, 1] = min(out[t, 1] + 1, 2)
+        misspelt, sure = kind[code[at]] % 2 == 0, kind[code[at]] > 2
+        part, most = (2, 2) if quoted else (1, 2) if misspelt else (0, 3)
+        out[t, part] = min(out[t, part] + 1, most)
+        if sure:
+            out[t, 6 if quoted else 5 if misspelt else 4] = 1
         out[t, 3] |= int(not quoted and (near & 8).any())
     return out
 
 
 def _design(cells: np.ndarray) -> np.ndarray:
-    plain, fuzzy, quoted, you = cells.T
-    columns = [np.ones(len(cells)), plain >= 1, plain >= 2, plain >= 3, fuzzy >= 1, fuzzy >= 2, quoted >= 1, quoted >= 2, you]
+    """A strong hit decides by itself; the others count. A weaker kind of a strong hit says nothing beside a plain one."""
+    plain, fuzzy, quoted, you, sure, sure_fuzzy, sure_quoted = cells.T
+    sure_fuzzy, sure_quoted = sure_fuzzy * (1 - sure), sure_quoted * (1 - sure) * (1 - sure_fuzzy)
+    columns = [np.ones(len(cells)), plain >= 1, plain >= 2, plain >= 3, fuzzy >= 1, fuzzy >= 2, quoted >= 1, quoted >= 2, you, sure, sure_fuzzy, sure_quoted]
     return np.stack([np.asarray(c, float) for c in columns], 1)
 
 
-def fit(cells: np.ndarray, positive: np.ndarray, total: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a ridge logistic regression over counted cells (Newton steps)."""
+#: Where strong hits are pulled to: the share STRONG of toxic texts for plain ones; of the way there for misspelt and quoted ones.
+MISSPELT_SHARE, QUOTED_SHARE = 0.85, 0.35
+
+
+def fit(cells: np.ndarray, positive: np.ndarray, total: np.ndarray, ridge: float = 0.05, pull: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression over counted cells (Newton steps), each pulled to a value that holds where no text shows it.
+
+    That value is 0, and for hits of strong entries what lifts a text without hits to STRONG, or part of the way.
+    """
     x = _design(cells)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x.T * (total * p * (1 - p))) @ x + np.diag(penalty), x.T @ (positive - total * p) - penalty * w)
-        w += step
+    bare = ~x[:, 1:].any(1)
+    lift = np.log(STRONG / (1 - STRONG)) - np.log((positive[bare].sum() + 0.5) / ((total - positive)[bare].sum() + 0.5))
+    means, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    means[-3:] = lift * np.array([1, MISSPELT_SHARE, QUOTED_SHARE])
+    penalty[0], penalty[8:] = 1e-6, pull
+    loss = lambda w: float(total @ np.logaddexp(0, x @ w) - positive @ (x @ w) + penalty @ (w - means) ** 2 / 2)
+    w = means.copy()
+    w[0] = np.log(STRONG / (1 - STRONG)) - lift
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x.T * (total * p * (1 - p))) @ x + np.diag(penalty), x.T @ (positive - total * p) - penalty * (w - means))
+        while np.abs(step).max() >= 1e-9 and loss(w + step) > loss(w):
+            step /= 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
+    # no kind of hit makes a text milder, and a quoted hit isn't worth more than a plain one
+    w[1:] = np.maximum(w[1:], 0)
+    w[11] = min(w[11], w[9])
     return w
 
 
 class Model:
     """A learnt lexicon and the weights of its hits."""
 
-    def __init__(self, words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]], weights: np.ndarray | None) -> None:
-        self.words, self.stems, self.clean, self.weights = words, stems, clean, weights
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray | None) -> None:
+        self.lexicon, self.weights = lexicon, weights
+        self.words, self.stems, self.clean, self.strong = lexicon.words, lexicon.stems, lexicon.clean, lexicon.strong
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.weights is None:  # nothing was labelled
             return np.zeros(len(column))
-        return 1 / (1 + np.exp(-_design(features(column, self.words, self.stems, self.clean)) @ self.weights))
+        return 1 / (1 + np.exp(-_design(self.lexicon.features(column)) @ self.weights))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from all labelled rows outside the held-out fold; at most 72 counted cells reach the driver."""
+    """Learn from all labelled rows outside the held-out fold; a bounded number of counted cells reaches the driver.
+
+    The weights see each half of the texts through the lexicon of the other half, so they know what
+    hits are worth on texts that chose no entry. Where a half lacks toxic or clean texts, all texts serve for both.
+    """
     texts = stored(with_copies(labelled(docs, labels)), "texts")
     sizes = _sizes(texts)
-    words, stems = _lexicon(texts, *sizes)
-    used = _clean_forms(texts, words, stems, *sizes)
-    # a form of one clean text stands for forms that no labelled text shows: the weights must see what those are worth
-    repeated = frozenset(k for k, n in used.items() if n > 1)
+    parts = ("", "0", "1") if min(sizes["0"] + sizes["1"]) else ("",)
+    lexicons = _lexicons(texts, sizes, parts)
+    used = _clean_forms(texts, lexicons, sizes)
+    for p, x in lexicons.items():
+        x.used(frozenset(used[p]))
+    if parts == ("",):
+        # a form of one clean text stands for forms that no labelled text shows: the weights must see what those are worth
+        seen_by = [(None, Lexicon(lexicons[""].words, lexicons[""].stems, lexicons[""].strong, frozenset(k for k, n in used[""].items() if n > 1)))]
+    else:
+        seen_by = [(0, lexicons["1"]), (1, lexicons["0"])]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = features(batch.column("text"), words, stems, repeated)
+        half, got = batch.column("half").to_numpy(), np.zeros((batch.num_rows, len(FEATURES)), np.int64)
+        for mine, x in seen_by:
+            at = np.flatnonzero((half == mine) | (mine is None))
+            got[at] = x.features(batch.column("text").take(pa.array(at)))
         return pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("toxic").cast(pa.int64()), batch.column("times")], [*FEATURES, "toxic", "times"])
 
     seen = over_arrow(texts, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic", "times"]))
     cells = seen.groupBy(*FEATURES).agg(F.sum(F.col("toxic") * F.col("times")).alias("positive"), F.sum("times").alias("total")).collect()
     released(texts)
     if not cells:
-        return Model(words, stems, frozenset(used), None)
+        return Model(lexicons[""], None)
     table = np.array([[*r] for r in cells], float)
-    return Model(words, stems, frozenset(used), fit(table[:, :4], table[:, 4], table[:, 5]))
+    return Model(lexicons[""], fit(table[:, :-2], table[:, -2], table[:, -1]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -517,7 +589,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever their names; null and empty texts have no hit and stay. Texts of any length are read whole."""
     model = train(docs, labels)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
