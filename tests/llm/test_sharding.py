@@ -62,3 +62,29 @@ def test_fewer_cut_edges_than_by_hash(spark):
     hashed = {r.doc_id: r.shard for r in sharding._rows(docs, 8).select("doc_id", "shard").collect()}
     cut = lambda shard: sum(shard[i] != shard[i % 60] for i in range(60, 1200))
     assert cut(got) <= 0.25 * cut(hashed)  # none need be cut: a group of 20 fits a shard of 300
+
+
+def test_groups_of_all_sizes_stay_together(spark):
+    """One group of a third of the rows, groups from 0.4 to 2 shards and small ones: each touches one shard more than it needs at most."""
+    capacity, sizes = 500, [4000, 1000, 700, 600, 450, 300, 200, 200, 200, 40, 40, 30, 20, *[7] * 60]
+    texts = [f"g{i}" for i, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"own {i}" for i in range(12_000 - len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = sharded(docs).collect()
+    check(docs, got, 24)
+    shards = {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    for i, n in enumerate(sizes):
+        assert len(shards[f"g{i}"]) <= -(-n // capacity) + (n > capacity), (n, len(shards[f"g{i}"]))
+
+
+def test_only_linked_documents(spark):
+    """Nothing unlinked fills the gaps: counts stay even, and few groups are cut."""
+    docs = spark.range(2400).selectExpr("id as doc_id", "concat('t', id % 150) as text")
+    got = sharded(docs, 10).collect()
+    check(docs, got, 10)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.doc_id % 150, set()).add(r.shard)
+    assert sum(len(x) > 1 for x in shards.values()) <= 10
