@@ -37,6 +37,8 @@ STEM_LENGTHS = range(4, 8)
 FUZZY_LENGTH = 6
 #: Forms whose kind a trie remembers.
 REMEMBERED = 30_000
+#: Written forms whose kind and marks are kept between steps: at some 100 bytes each.
+FORMS_HELD = 100_000
 #: Counted terms that a task passes on at once.
 HELD_TERMS = 100_000
 #: Text bytes whose terms are counted together: the more, the fewer rows are passed on.
@@ -135,6 +137,7 @@ class Trie:
         self.root: dict = {}
         self.known: dict[str, int] = {}
         self.keys: dict[str, set[tuple[str, bool]]] = {}
+        self.forms: dict[str, int] = {}
         shortest = FUZZY_LENGTH if clean is None else 1
         entries = [e for e in [*((w, False) for w in self.words), *((s, True) for s in self.stems)] if len(e[0]) >= shortest]
         for entry, stem in entries:
@@ -461,13 +464,16 @@ def features(column: pa.Array, words: frozenset[str], stems: frozenset[str], cle
     if not len(found.begin):
         return out
     code, forms = word_forms(found)
-    kind, mark = np.zeros(len(forms), np.int8), np.zeros(len(forms), np.int8)
-    plain = [f.strip(_EDGES).lower() for f in forms]
-    close = trie.filter.passes(plain)
-    for i, (form, word) in enumerate(zip(forms, plain)):
-        if close[i]:
-            kind[i] = trie.kind(word)
-        mark[i] = (form[:1] in _OPEN) + 2 * (form.rstrip(".,;:!?")[-1:] in _CLOSE) + 4 * (word in _SAID) + 8 * (word in _YOU)
+    seen = trie.forms
+    fresh = [f for f in forms if f not in seen]
+    if len(seen) + len(fresh) > FORMS_HELD:
+        seen.clear()
+        fresh = forms
+    plain = [f.strip(_EDGES).lower() for f in fresh]
+    for form, word, close in zip(fresh, plain, trie.filter.passes(plain).tolist()):
+        mark = (form[:1] in _OPEN) + 2 * (form.rstrip(".,;:!?")[-1:] in _CLOSE) + 4 * (word in _SAID) + 8 * (word in _YOU)
+        seen[form] = 16 * (trie.kind(word) if close else 0) + mark
+    kind, mark = np.divmod(np.fromiter(map(seen.__getitem__, forms), np.int64, len(forms)), 16)
     hits = np.flatnonzero(kind[code])
     text = np.searchsorted(found.first, hits, "right") - 1
     for at, t in zip(hits.tolist(), text.tolist()):
