@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but
 the last return the columns of ``documents``; run() writes each result to the shared folder and
-reads it again for the next stage.
+reads it again for the next stage. Every stage takes nulls in any column, empty texts and texts of
+any length, repeated rows, empty tables and further columns of any name, and keeps all columns of what it keeps.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def line_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their failing lines."""
+    """Documents that pass the quality rules, without their failing lines; null and empty texts have too few words and go."""
     from waymark.llm.quality import cleaned
 
     return _recounted(cleaned(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; learnt from the labels of those that came this far."""
+    """Documents that are not predicted toxic; learnt from the labels of those that came this far. Without labels all stay."""
     from waymark.llm.toxicity import without_toxic
 
     return without_toxic(docs, read_table(spark, sf_dir, "labels"))
@@ -52,14 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """The documents with personal data replaced by its kind; a null text stays null."""
     from waymark.llm.pii import redacted
 
     return _recounted(redacted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their places in sequences of 2048."""
+    """Pieces of token ids with their places in sequences of 2048; a null text is packed as an empty one."""
     import public_tokenizers
 
     from waymark.llm.packing import packed

@@ -21,14 +21,12 @@ def _columns(row: Column, size: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(top, F.lit(90.0)))) / size))
 
 
-def _cell(row: Column, lng: Column, size: float, step: int = 0) -> Column:
-    n = _columns(row, size)
-    return F.struct(row.alias("row"), F.pmod(F.floor((lng + 180) / 360 * n) + step, n).alias("col"))
-
-
-def _around(lat: Column, lng: Column, size: float) -> Column:
-    row = F.floor(lat / size)
-    return F.array_distinct(F.array(*[_cell(row + i, lng, size, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+def _in_cells(points: DataFrame, lat: str, lng: str, size: float, around: int) -> DataFrame:
+    """``points`` in their cell (``_row``, ``_col``), or with ``around`` = 1 in the cells around it, too; each step is a column of its own."""
+    row, steps = F.floor(F.col(lat) / size), range(-around, around + 1)
+    rows = points.where(f"{lat} is not null and {lng} is not null").withColumn("_row", F.explode(F.array(*[row + k for k in steps])))
+    rows = rows.withColumn("_n", _columns(F.col("_row"), size)).withColumn("_at", F.floor((F.col(lng) + 180) / 360 * F.col("_n")))
+    return rows.withColumn("_col", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_at") + k, F.col("_n")) for k in steps])))).drop("_n", "_at")
 
 
 def range_join(left: DataFrame, right: DataFrame, on: list[str], radius_m: float, distance) -> DataFrame:
@@ -40,9 +38,7 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], radius_m: float
     the poles and across the antimeridian meet as well; points without coordinates meet nothing.
     """
     size = radius_m / (DEGREE_M * 0.99)
-    one = left.where("lat is not null and lng is not null").withColumn("_cell", F.explode(_around(F.col("lat"), F.col("lng"), size)))
-    two = right.where("lat_r is not null and lng_r is not null").withColumn("_cell", _cell(F.floor(F.col("lat_r") / size), F.col("lng_r"), size))
-    met = one.join(two, [*on, "_cell"]).drop("_cell")
+    met = _in_cells(left, "lat", "lng", size, 1).join(_in_cells(right, "lat_r", "lng_r", size, 0), [*on, "_row", "_col"]).drop("_row", "_col")
     return met.withColumn("dist", distance(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r"))).where(F.col("dist") <= radius_m)
 
 
@@ -183,20 +179,22 @@ def without_near_repeats(kept: DataFrame, extra: DataFrame, on: list[str], key:
     return kept.unionByName(extra.join(near.select(*key).distinct(), key, "left_anti"))
 
 
-def coverage(points: DataFrame, visitors: DataFrame, group: str, visitor: str, radius_m: float, distance, percent: int, least: int) -> DataFrame:
-    """(group, visitor, covered, total) where a visitor came near enough of a group's points.
+def coverage(points: DataFrame, visitors: DataFrame, group: str, visitor: str, radius_m: float, distance, percent: int, least: int, on: list[str] | None = None) -> DataFrame:
+    """(on, group, visitor, covered, total) where a visitor came near enough of a group's points.
 
-    ``points``: group, point_id, lat, lng; ``visitors``: visitor, lat_r, lng_r.
+    ``points``: group, point_id, lat, lng; ``visitors``: visitor, lat_r, lng_r. ``on``: keys of both, as the day, so that
+    a cell doesn't meet all its history.
     """
-    total = points.groupBy(group).agg(F.countDistinct("point_id").alias("total"))
-    near = range_join(points, visitors, [], radius_m, distance).select(group, "point_id", visitor).distinct()
-    hit = near.groupBy(group, visitor).agg(F.count("*").alias("covered"))
-    return hit.join(total, group).where((F.col("covered") >= least) & (100 * F.col("covered") >= percent * F.col("total"))).select(group, visitor, "covered", "total")
+    keys = [*(on or []), group]
+    total = points.groupBy(*keys).agg(F.countDistinct("point_id").alias("total"))
+    near = range_join(points, visitors, on or [], radius_m, distance).select(*keys, "point_id", visitor).distinct()
+    hit = near.groupBy(*keys, visitor).agg(F.count("*").alias("covered"))
+    return hit.join(total, keys).where((F.col("covered") >= least) & (100 * F.col("covered") >= percent * F.col("total"))).select(*keys, visitor, "covered", "total")
 
 
-def only_leader(ranked: DataFrame, group: str, score: str) -> DataFrame:
+def only_leader(ranked: DataFrame, group: list[str], score: str) -> DataFrame:
     """The top row of each group by ``score``; none where the top is shared."""
-    w = Window.partitionBy(group)
+    w = Window.partitionBy(*group)
     top = ranked.withColumn("_top", F.max(score).over(w)).where(F.col(score) == F.col("_top"))
     return top.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_top", "_n")
 

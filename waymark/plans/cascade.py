@@ -137,7 +137,7 @@ def layer_credited_once(spark: SparkSession, d: str) -> DataFrame:
     return _shown(cascade.credited_once(_timed(spark, d, pairs), pairs, 1))
 
 
-@query(_ROWS + f""", gaps AS (SELECT v AS vehicle, start AS gap_start, e AS gap_end FROM s WHERE e - start >= 900), g AS (SELECT DISTINCT delivery FROM base b JOIN gaps USING (vehicle) WHERE planned_at BETWEEN gap_start AND gap_end), l AS (SELECT vehicle, avg(lat) AS y, avg(lng) AS x FROM base GROUP BY vehicle, load),
+@query(_ROWS + f""", gaps AS (SELECT v AS vehicle, start AS gap_start, e AS gap_end FROM s WHERE e - start >= 900), g AS (SELECT DISTINCT delivery FROM base b JOIN gaps USING (vehicle) WHERE planned_at BETWEEN gap_start AND gap_end), l AS (SELECT vehicle, floor(avg(lat) * 1e7 + 0.5) / 1e7 AS y, floor(avg(lng) * 1e7 + 0.5) / 1e7 AS x FROM base GROUP BY vehicle, load),
  c AS (SELECT vehicle, min({{'y': y, 'x': x}}) AS a, max({{'y': y, 'x': x}}) AS b, min({{'x': x, 'y': y}}) AS e, max({{'x': x, 'y': y}}) AS f FROM l GROUP BY 1), w AS (SELECT vehicle FROM c WHERE greatest({i.haversine_sql('a.y', 'a.x', 'b.y', 'b.x')}, {i.haversine_sql('e.y', 'e.x', 'f.y', 'f.x')}) >= 5000)
  SELECT delivery, delivery IN (SELECT delivery FROM g) AS gap, vehicle IS NOT NULL AND vehicle IN (SELECT vehicle FROM w WHERE vehicle IS NOT NULL) AS split FROM base""")
 def layer_marks(spark: SparkSession, d: str) -> DataFrame:

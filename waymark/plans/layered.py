@@ -92,7 +92,7 @@ SQL = f"""WITH {i.STOPS}, {_PLAN}, s AS (SELECT stop_id, CASE WHEN vehicle % 10
  taken AS (SELECT a.delivery, arg_min(b.at, (abs(a.planned_at - b.planned_at), b.planned_at)) AS at2 FROM g2 a JOIN g2 b ON a.client = b.client AND a.delivery <> b.delivery AND b.status = 'confirmed' AND a.status <> 'confirmed' WHERE abs(a.planned_at - b.planned_at) <= {_N.address_s} GROUP BY 1),
  g3 AS (SELECT r.* REPLACE (CASE WHEN t.delivery IS NOT NULL THEN 'same_address' ELSE kind END AS kind, CASE WHEN t.delivery IS NOT NULL THEN 'confirmed' ELSE status END AS status, CASE WHEN t.delivery IS NOT NULL THEN at2 ELSE r.at END AS at) FROM g2 r LEFT JOIN taken t ON t.delivery = r.delivery),
  gaps AS (SELECT v, start AS gap_start, e AS gap_end FROM s WHERE e - start >= 900), g AS (SELECT DISTINCT delivery FROM deliveries JOIN gaps ON vehicle = v WHERE planned_at BETWEEN gap_start AND gap_end),
- l AS (SELECT vehicle, avg(lat) AS y, avg(lng) AS x FROM deliveries WHERE vehicle IS NOT NULL GROUP BY vehicle, load),
+ l AS (SELECT vehicle, floor(avg(lat) * 1e7 + 0.5) / 1e7 AS y, floor(avg(lng) * 1e7 + 0.5) / 1e7 AS x FROM deliveries WHERE vehicle IS NOT NULL GROUP BY vehicle, load),
  c AS (SELECT vehicle, min({{'y': y, 'x': x}}) AS a, max({{'y': y, 'x': x}}) AS b, min({{'x': x, 'y': y}}) AS e, max({{'x': x, 'y': y}}) AS f FROM l GROUP BY 1), w AS (SELECT vehicle FROM c WHERE greatest({i.haversine_sql("a.y", "a.x", "b.y", "b.x")}, {i.haversine_sql("e.y", "e.x", "f.y", "f.x")}) >= {_N.apart})
  SELECT delivery, kind, status, at, {i.hundredths_sql("dist")} AS dist, note, delivery IN (SELECT delivery FROM g) AS gap, vehicle IS NOT NULL AND vehicle IN (SELECT vehicle FROM w) AS split, coalesce(vehicle % 11 = 0, false) AS faulty, again FROM g3"""
 

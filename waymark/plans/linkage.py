@@ -131,14 +131,16 @@ def source_dedup_union(spark: SparkSession, d: str) -> DataFrame:
     return joins.without_near_repeats(s.where("kind <> 'STORE'"), s.where("kind = 'STORE'"), ["vehicle"], ["stop_id"], 2000.0, 3600, haversine).select("stop_id")
 
 
-_COV = f"""WITH {i.STOPS}, {i.DELIVERIES}, v AS (SELECT vehicle AS mate, lat AS lat_r, lng AS lng_r FROM stops), c AS (SELECT vehicle AS load, mate, count(DISTINCT delivery) AS covered FROM deliveries, v WHERE {_H} <= 500 AND vehicle <> mate GROUP BY ALL),
- t AS (SELECT vehicle AS load, count(*) AS total FROM deliveries GROUP BY 1), k AS (SELECT load, mate, covered, total FROM c JOIN t USING (load) WHERE covered >= 3 AND 100 * covered >= 50 * total)"""
+_COV = f"""WITH {i.STOPS}, {i.DELIVERIES}, v AS (SELECT vehicle AS mate, start // 86400 AS day, lat AS lat_r, lng AS lng_r FROM stops), p AS (SELECT vehicle AS load, planned_at // 86400 AS day, delivery, lat, lng FROM deliveries),
+ c AS (SELECT day, load, mate, count(DISTINCT delivery) AS covered FROM p JOIN v USING (day) WHERE {_H} <= 500 AND load <> mate GROUP BY ALL),
+ t AS (SELECT day, load, count(*) AS total FROM p GROUP BY ALL), k AS (SELECT day, load, mate, covered, total FROM c JOIN t USING (day, load) WHERE covered >= 2 AND 100 * covered >= 40 * total)"""
 
 
 def _cover(spark: SparkSession, d: str) -> DataFrame:
-    points = i.deliveries(spark, d).select(F.col("vehicle").alias("load"), F.col("delivery").alias("point_id"), "lat", "lng")
-    other = i.stops(spark, d).select(F.col("vehicle").alias("mate"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
-    return joins.coverage(points, other, "load", "mate", 500.0, haversine, 50, 3).where("load <> mate")
+    day = lambda t: F.floor(F.col(t) / 86400).alias("day")
+    points = i.deliveries(spark, d).select(day("planned_at"), F.col("vehicle").alias("load"), F.col("delivery").alias("point_id"), "lat", "lng")
+    other = i.stops(spark, d).select(day("start"), F.col("vehicle").alias("mate"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
+    return joins.coverage(points, other, "load", "mate", 500.0, haversine, 40, 2, ["day"]).where("load <> mate")
 
 
 @query(_COV + " SELECT * FROM k")
@@ -146,9 +148,9 @@ def swap_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _cover(spark, d)
 
 
-@query(_COV + ", m AS (SELECT *, max(covered) OVER (PARTITION BY load) AS top FROM k), n AS (SELECT *, count(*) OVER (PARTITION BY load) AS tied FROM m WHERE covered = top) SELECT load, mate, covered, total FROM n WHERE tied = 1")
+@query(_COV + ", m AS (SELECT *, max(covered) OVER (PARTITION BY day, load) AS top FROM k), n AS (SELECT *, count(*) OVER (PARTITION BY day, load) AS tied FROM m WHERE covered = top) SELECT day, load, mate, covered, total FROM n WHERE tied = 1")
 def swap_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return joins.only_leader(_cover(spark, d), "load", "covered")
+    return joins.only_leader(_cover(spark, d), ["day", "load"], "covered")
 
 
 _HIST = "history AS (SELECT l_orderkey % 400 AS entry, CASE WHEN l_linestatus = 'F' THEN 'undo' ELSE l_returnflag END AS verdict, l_orderkey * 10 + l_linenumber AS made, l_partkey AS tie, l_suppkey AS tie2 FROM lineitem)"
