@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from waymark.plans import cascade, kpi, landing, layered, linkage, live, matching, quality, review, scalar, trajectory, verdicts  # noqa: F401
+    from waymark.plans import cascade, kpi, landing, layered, linkage, live, matching, quality, review, scalar, trajectory, verdicts, visiting  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
