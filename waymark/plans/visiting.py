@@ -15,8 +15,8 @@ _ON = ["vehicle", "day"]
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries with their day; every 23rd without a point."""
-    p = i.deliveries(spark, d).withColumn("day", F.floor(F.col("planned_at") / DAY))
+    """Deliveries with their day, both of a client on one vehicle; every 23rd without a point."""
+    p = i.deliveries(spark, d).withColumn("vehicle", F.col("client") % 150).withColumn("day", F.floor(F.col("planned_at") / DAY))
     return p.withColumn("lat", F.when(F.col("delivery") % 23 != 0, F.col("lat")))
 
 
@@ -32,7 +32,7 @@ def _told(plan: DataFrame) -> DataFrame:
 
 
 _SQL = f"""WITH {i.STOPS}, {i.DELIVERIES},
-plan AS (SELECT delivery, vehicle, planned_at, planned_at // 86400 AS day, CASE WHEN delivery % 23 <> 0 THEN lat END AS lat, lng FROM deliveries),
+plan AS (SELECT delivery, client % 150 AS vehicle, planned_at, planned_at // 86400 AS day, CASE WHEN delivery % 23 <> 0 THEN lat END AS lat, lng FROM deliveries),
 away AS (SELECT stop_id, vehicle, start // 86400 AS day, start AS arrive, CASE WHEN stop_id % 17 <> 0 THEN "end" ELSE start END AS leave, lat, lng FROM stops WHERE kind IN ('OUTSIDE', 'STORE')),
 met AS (SELECT p.delivery, a.stop_id, a.arrive, a.leave, {i.haversine_sql("p.lat", "p.lng", "a.lat", "a.lng")} AS dist FROM plan p JOIN away a USING (vehicle, day)),
 chosen AS (SELECT *, dist > 500 AS wide FROM met WHERE dist <= 800 QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY dist > 500, dist, delivery) = 1),
