@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.time import wall_seconds
@@ -11,6 +11,7 @@ from waymark.plans.catalog import query
 from waymark.sources import sinks
 from waymark.sources.store import shared_path, table
 from waymark.streaming import day
+from waymark.streaming.touched import recomputed_days
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -110,3 +111,21 @@ def grown_snapshot(spark: SparkSession, d: str) -> DataFrame:
     for part in (s.where("start % 2 = 0"), s.where("start % 2 = 1")):
         sinks.grow_only(part, path, ["day"], lambda df: united_intervals(df, ["vehicle", "day"], "start", "end", 500.0))
     return spark.read.schema(s.schema).parquet(path)
+
+
+def day_reports(events: DataFrame) -> DataFrame:
+    """day, users, n, longest_gap: figures of whole days that can't be added up batch by batch (gaps within a user's day)."""
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("day", "user_id").orderBy("t", "event_id"))
+    users = events.withColumn("gap", gap).groupBy("day", "user_id").agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
+    return users.groupBy("day").agg(F.count("*").alias("users"), F.sum("n").alias("n"), F.max("gap").alias("longest_gap"))
+
+
+@query("WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), g AS (SELECT t // 86400 AS day, user_id, t - lag(t) OVER (PARTITION BY t // 86400, user_id ORDER BY t, event_id) AS gap FROM e) SELECT day, count(DISTINCT user_id) AS users, count(*) AS n, max(gap) AS longest_gap FROM g GROUP BY day")
+def stream_recomputed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Events arrive in four parts, each with rows of all days; every part computes its days anew."""
+    e = table(spark, d, "events").select("event_id", "user_id", wall_seconds(F.col("ts")).alias("t")).withColumn("day", F.floor(F.col("t") / 86_400))
+    parts = shared_path(spark, "arriving")
+    for k in range(4):
+        e.where(F.pmod(F.hash("event_id"), F.lit(4)) == k).write.parquet(f"{parts}/{k}")
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(parts)
+    return recomputed_days(stream, day_reports)
