@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.plans import inputs as i
 from waymark.plans.catalog import query
-from waymark.sources import readers, sinks
+from waymark.sources import positioned, readers, sinks
 from waymark.sources.store import shared_path, table
 
 
@@ -135,3 +135,34 @@ def canonical_store_names(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "supplier").select(F.col("s_nationkey").alias("net"), F.concat(F.lit("Store "), (F.col("s_suppkey") % 30).cast("string")).alias("canonical"))
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("net"), F.concat(F.lit("  stóre  "), (F.col("c_custkey") % 40).cast("string")).alias("name"))
     return canonical_names(asked, known, "net", "name").select("id", "canonical")
+
+
+_PLATE = "^[A-Z]{3}[0-9][A-Z0-9][0-9]{2}$"
+_LABELS = {"plate": "^Plate$", "code": "^Code$", "name": "^Name$", "town": "^Town$"}
+_BANDS = {"plate": (0.0, 40.0), "code": (40.0, 100.0), "name": (100.0, 250.0), "town": (250.0, 9999.0)}
+
+
+def _page_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of pages of 25 records each: columns that lie elsewhere on each page, baselines that waver, a name over three lines, a footer."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(k.alias("k"), F.col("o_custkey").alias("c"), F.floor(k / 25).alias("page"), (k % 25).alias("r"))
+    lost = F.col("page") % 5 == 0  # pages without a heading have their columns at the usual places
+    shift = lambda n: F.when(lost, F.lit(0)).otherwise(F.col("page") % 7 * n)
+    s = lambda x: x.cast("string")
+    top = 800 - F.col("r") * 30
+    waver = lambda n: (F.col("k") * 7 + n) % 3 * 0.5 - 0.5
+    item = lambda x, y, text: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), text.alias("text"))
+    plate = F.concat(F.lit("ABC"), s(F.col("c") % 10), F.lit("D"), s(F.col("c") % 80 + 10))
+    name = 120 + shift(9)
+    body = [item(10 + shift(3), top + waver(0), plate), item(60 + shift(5), top + waver(1), s(F.col("k"))), item(name, top + 9 + waver(2), F.lit(" CUSTOMER ")), item(name, top + waver(2), s(F.col("c"))), item(name, top - 9 + waver(0), F.lit("BROTHERS")), item(name + 60, top - 9 + waver(1), F.lit("LTD")), item(300 + shift(11), top + waver(1), F.concat(F.lit("TOWN "), s(F.col("c") % 30)))]
+    head = [item(10 + shift(3), F.lit(830), F.lit("Plate")), item(60 + shift(5), F.lit(830.4), F.lit("Code")), item(name, F.lit(829.7), F.lit("Name")), item(300 + shift(11), F.lit(830), F.lit("Town"))]
+    foot = [item(70 + shift(5), F.lit(20), F.concat(F.lit("page "), s(F.col("page"))))]
+    pages = o.select("page").distinct()
+    parts = [o.select("page", F.inline(F.array(*body))), pages.where(~lost).select("page", F.inline(F.array(*head))), pages.select("page", F.inline(F.array(*foot)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT o_orderkey // 25 AS page, 'ABC' || o_custkey % 10 || 'D' || (o_custkey % 80 + 10) AS plate, o_orderkey AS code, 'CUSTOMER ' || o_custkey || ' BROTHERS LTD' AS name, 'TOWN ' || o_custkey % 30 AS town FROM orders""")
+def positioned_records(spark: SparkSession, d: str) -> DataFrame:
+    got = positioned.records(_page_items(spark, d), ["page"], _LABELS, _BANDS, ("plate", _PLATE), ["name"], missing=1)
+    return got.select("page", "plate", F.col("code").cast("long").alias("code"), "name", "town")
