@@ -1,4 +1,7 @@
 import random
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import functions as F
 
@@ -94,3 +97,78 @@ def test_relative_targets_carry_blocks(spark):
     got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
     assert [got[i] for i in range(8)] == ["block"] * 8 and got[8] == got[9] == "allow" and [got[i] for i in range(10, 71)] == ["block"] * 61
     assert urlfilter.alias_edges(pages.where("page_id in (8, 9)")).collect() == []
+
+
+class _Edges(HTMLParser):
+    """An independent reading of a page: (base, targets) by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.base, self.targets = None, []
+
+    def handle_starttag(self, tag, attrs):
+        got = {}
+        for k, v in attrs:
+            got.setdefault(k, v or "")
+        if tag == "base" and "href" in got and self.base is None:
+            self.base = got["href"].strip()
+        if tag == "link" and "canonical" in got.get("rel", "").lower().split():
+            self.targets.append(got.get("href", "").strip())
+        if tag == "meta" and got.get("http-equiv", "").strip().lower() == "refresh":
+            m = re.match(r"\s*[\d.]+\s*[;,]?\s*(?:url\s*=\s*)?(.*)", got.get("content", ""), re.I | re.S)
+            if m:
+                t = m[1].strip()
+                self.targets.append(t[1:].split(t[0])[0].strip() if t[:1] in ("'", '"') else t)
+
+
+def _plain_edges(url, html):
+    page = _Edges()
+    page.feed(html)
+    page.close()
+    at = urljoin(url, page.base) if page.base else url
+    out = set()
+    for t in page.targets:
+        full = urlsplit(urljoin(at, t))
+        if t and not t.startswith("#") and full.netloc:
+            out.add(full.netloc.lower() + full.path.removesuffix("/") + (f"?{full.query}" if full.query else ""))
+    own = urlsplit(url)
+    return out - {own.netloc.lower() + own.path.removesuffix("/") + (f"?{own.query}" if own.query else "")}
+
+
+def markup(n=400, seed=3):
+    """Pages with links in comments, scripts and attribute values, several rel words, decoys, bases and character references."""
+    rng = random.Random(seed)
+    hosts = ["b.com", "c.net", "news.d.org"]
+    href = lambda: rng.choice([f"http://{rng.choice(hosts)}/de/{rng.randint(1, 99)}", f"//{rng.choice(hosts)}/x", f"/p/{rng.randint(1, 99)}", f"q/{rng.randint(1, 99)}", f"http&#58;//d.net/{rng.randint(1, 9)}", f"http:&#x2F;&#x2f;e.net/a&amp;b", "/k?x=1&amp;y=&#233;", " /sp "])
+    rows = []
+    for k in range(n):
+        q = rng.choice(["'", '"'])
+        link = lambda: rng.choice(["<link ", "<LINK\n", "<link data-href='http://no.net/' ", "<link title='a > b' "]) + rng.choice([f"rel={q}{r}{q}" for r in ("canonical", "shortlink Canonical", "stylesheet", "notcanonical", "canonical-x")] + ["rel=canonical", "data-rel=canonical"]) + f" href={q}{href()}{q}" + rng.choice([">", "/>", " />"])  # noqa: E731, B023
+        meta = lambda: f"<meta HTTP-EQUIV={rng.choice(['refresh', q + 'Refresh' + q])} content={q}{rng.choice(['0; url=', '5;URL=', '1, ', '0;'])}{href().strip()}{q}>"  # noqa: E731, B023
+        some = lambda: rng.choice([link, meta])()  # noqa: E731, B023
+        parts = [some(), f"<!-- {some()} -->", f"<script>var a = '{link().replace(chr(39), '')}';</script>", f"<style>/* {link()} */</style>", f'<a title="{link().replace(chr(34), "")}">x</a>', rng.choice(["", "<base target=x>", f"<base href={q}{rng.choice(['/sub/dir/', 'http://base.net/r/s', '//base.org/', 'up/'])}{q}>"]), some(), "<p>text & more < 3</p>"]
+        rng.shuffle(parts)
+        rows.append((k, f"http://h{k}.net/dir/page{k}", "".join(parts[: rng.randint(1, len(parts))])))
+    return rows
+
+
+def test_markup_by_an_independent_parser(spark, tmp_path):
+    rows = markup()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in urlfilter.alias_edges(pages).collect():
+        got.setdefault(r.src.split(".")[0], set()).add(r.dst)
+    want = {f"h{k}": _plain_edges(url, html) for k, url, html in rows}
+    assert {k: got.get(k, set()) for k in want} == want and sum(map(len, want.values())) > 200
+    pages.coalesce(1).write.parquet(str(tmp_path / "p"))
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert difference(urlfilter.judged(spark.read.parquet(str(tmp_path / "pages.parquet"))), urlfilter.ORACLE, str(tmp_path)) == ""
+
+
+def test_links_that_are_none_and_links_that_were_lost(spark):
+    to = 'href="http://b.com/de/1"'
+    rows = [f"<!-- <link rel=canonical {to}> -->", f"<script>x = '<link rel=canonical {to}>'</script>", f"<link rel=canonical {to.replace('href', 'data-href')}>", f"<link rel=stylesheet {to}>", f"<!-- open <link rel=canonical {to}>",
+            f'<link rel="shortlink canonical" {to}>', '<link rel=canonical href="http&#58;//b.com/de/1">', '<base href="http://b.com/de/"><link rel=canonical href=1>', f'<link data-href="http://no.net" title="a > b" rel=canonical {to}>', '<link rel=canonical href="http&#x3a;&sol;/b.com/de/1" href=x>', f"<link rel=canonical {to} " + "a=1 " * 20_000 + ">"]
+    pages = spark.createDataFrame([(k, f"http://x{k}.net/", h) for k, h in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
+    assert [got[k] for k in range(11)] == ["allow"] * 5 + ["block"] * 6
