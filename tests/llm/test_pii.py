@@ -154,3 +154,11 @@ def test_reliabilities_find_the_good_labelers():
     table, at, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     belief = pii.reliabilities(table, n.astype(float))[at.ravel()]
     assert ((belief > 0.5) == truth).mean() > 0.93
+
+
+def test_named_keys_of_any_length(spark):
+    """A long key name is one like any other, and long runs of key characters, also of other alphabets, don't slow the search."""
+    long = "x" * 70 + "_password=hunter2hunter"
+    rows = [(1, long), (2, "é" * 300 + "_token: abcd1234efgh"), (3, "字" * 200_000 + "=x " + "a_" * 100_000), *[(k, f"api_key = Zq9{k}Lm2Kp7Rt{k}") for k in range(10, 40)]]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == f"secret:80:{len(long)}" and got[2].startswith("secret:308:") and got[3] == ""

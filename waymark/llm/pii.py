@@ -1,7 +1,7 @@
 """Operator 10: personal data by weak supervision, DataFrame functions only.
 
-Four kinds have fixed rules. Further candidates (values of named keys, keys as issuers write them,
-long runs with digits, account numbers, names after a title or a known given name) are voted on by
+Four kinds have fixed rules. Further candidates (values of 4 characters or more of named keys, keys as issuers write
+them, runs of 12 characters or more with digits, account numbers, names after a title or a known given name) are voted on by
 regex, gazetteer, context and format labelers. Expectation-maximisation over the counts of vote
 patterns estimates how reliable each labeler is; its posteriors train a logistic span classifier
 whose weights become an expression. Only the bounded table of patterns reaches the driver.
@@ -32,7 +32,8 @@ TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame",
 GIVEN = ("Anna", "Anne", "Carlos", "Charles", "Claire", "David", "Elena", "Elisabeth", "Emma", "Hans", "Isabel", "James", "Jean", "Johann", "John", "José", "Juan", "Julia", "Karl", "Laura", "Luis", "Maria", "María", "Marie", "Martin", "Mary", "Michael", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Sophie", "Thomas", "William")
 _ASSIGNS = r"[\"']?\x20?[=:]\x20?[\"']?"
 _KEY = r"[\p{L}0-9_.-]"
-NAMED = rf"(?={_KEY}{{3,60}}+[\"']?\x20?[=:])(?i:{_KEY}*(?:{'|'.join(KEYS)})){_ASSIGNS}"
+#: A key of any length: as a search begins at the first character of a run of key characters only, it stays linear.
+NAMED = rf"(?={_KEY}{{3,}}+[\"']?\x20?[=:])(?i:{_KEY}*(?:{'|'.join(KEYS)})){_ASSIGNS}"
 TITLED = rf"(?:{'|'.join(TITLES)})\.?\x20"
 _NAME = r"\p{Lu}\p{Ll}+"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?"
@@ -44,7 +45,7 @@ _NAMES = rf"(?=[A-ZÑ])(?<!\p{{L}})(?:{TITLED}{_NAME}(?:\x20{_NAME})?|(?:{'|'.jo
 _NUMBERED = rf"(?<![.{_RUN}])(?:{SSN}(?![0-9-])|(?=[A-Za-z_+/=-]*+[0-9])[{_RUN}]{{12,}}+)"
 #: Candidates of texts with an assignment, of others with a digit, and of all others.
 CANDIDATES = (
-    ("[=:]", rf"(?<![A-Za-z0-9_.-]){NAMED}[^\s\"'<>,;]{{4,}}+|{_NAMES}|{IBAN}(?![A-Za-z0-9]))|{_NUMBERED}"),
+    ("[=:]", rf"(?<!{_KEY}){NAMED}[^\s\"'<>,;]{{4,}}+|{_NAMES}|{IBAN}(?![A-Za-z0-9]))|{_NUMBERED}"),
     ("[0-9]", rf"{_NAMES}|{IBAN}(?![A-Za-z0-9]))|{_NUMBERED}"),
     ("", f"{_NAMES})"),
 )
