@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -141,3 +142,64 @@ def test_learnt_model_weighs_misspelling_and_quotation(spark, sf):
         plain, quoted, fine = score(f"you are {word} they know", f'she said "{word}" to them', "they know of it")
         assert plain >= 0.5 > quoted > fine, (word, plain, quoted, fine)
         assert all(quoted < x <= plain + 1e-9 and x >= 0.5 for x in score(*(f"you are {w} they know" for w in wrong))), word
+
+
+def block(rng, texts, words):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))
+    rows = [" ".join(word() for _ in range(words)) for _ in range(texts)]
+    kinds = [rng.randrange(4) for _ in rows]
+    copies = [rng.choice([None, None, 5, -7]) for _ in rows]
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(kinds, pa.int64()), pa.array(copies, pa.int64())], ["text", "toxic", "copy_of"])
+
+
+def test_counting_a_block_takes_little_memory():
+    """Two workers count beside a full heap of an executor. pyarrow's pool stands beside this figure."""
+    batch = block(random.Random(7), 600, 1000)
+    assert 3.5e6 < batch.nbytes < toxicity.COUNTED_BYTES * 1.1
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in toxicity._counted(batch, toxicity.terms_of))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB:", peak / 1e6, "rows:", rows)
+    assert peak < 150e6
+
+
+def test_counts_of_blocks_equal_plain_counts(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 50)
+    batch = block(random.Random(8), 60, 30)
+    got, want = {}, {}
+    for part in toxicity._counted(batch, toxicity.terms_of):
+        for r in part.to_pylist():
+            key = r["term"], r["stem"], r["toxic"], r["copy_of"]
+            assert key not in got
+            got[key] = r["n"]
+    for r in batch.to_pylist():
+        words = set(r["text"].split())
+        for term, stem in {(w, False) for w in words if len(w) > 2} | {(w[:n], True) for w in words for n in toxicity.STEM_LENGTHS if len(w) >= n}:
+            key = term, stem, r["toxic"], r["copy_of"]
+            want[key] = want.get(key, 0) + 1 if r["copy_of"] is None else 1
+    assert got == want
+
+
+def test_workers_forget_the_tries_of_an_earlier_model(spark):
+    """A Python worker outlives its tasks; while it counts for a new model, nothing of the last one takes its memory."""
+
+    class Taken:  # stands for a frame; its function runs here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            list(run(iter([block(random.Random(9), 2, 5)])))
+            raise StopIteration
+
+    toxicity._trie(frozenset(["grublex"]), frozenset())
+    with pytest.raises(StopIteration):
+        toxicity._term_counts(Taken())
+    assert toxicity._trie.cache_info().currsize == 0
+
+
+def test_edits_of_stems_name_the_beginning_they_take():
+    trie = toxicity.Trie(["scum"], ["snarf"], frozenset())
+    near = lambda word: {key for key, _ in trie._near(word)}
+    assert near("snarxels") == {("snarx", True)} and near("snxarfels") == {("snxarf", True)} and near("snafels") == {("snaf", True)} and near("sanrfels") == {("sanrf", True)}
+    assert near("scm") == near("scumm") - {("scumm", False)} | {("scm", False)} and near("xscumx") == set() == near("snels")

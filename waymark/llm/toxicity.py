@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ REMEMBERED = 30_000
 FORMS_HELD = 100_000
 #: Counted terms that a task passes on at once.
 HELD_TERMS = 100_000
+#: Words of a block whose pairs of text and term are held at once (of one text at least).
+HELD_WORDS = 100_000
 #: Text bytes whose terms are counted together: the more, the fewer rows are passed on.
 COUNTED_BYTES = 4 << 20
 #: Characters that stand for letters they look like; 1, ! and | stand for two.
@@ -55,18 +58,40 @@ _YOU = frozenset("you your you're u tu vous toi ton votre du dich dein sie ihr u
 
 _LOOKED = re.compile(f"[{re.escape(''.join(map(chr, _LOOKS[0])))}]")
 #: Characters of the words that a filter step holds at once.
-FILTERED = 1 << 21
+FILTERED = 1 << 19
 
 
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings (rows of characters) as they are and without each of their characters."""
-    n = codes.shape[1]
-    powers = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64))
-    here = np.cumsum((codes + np.uint64(1)) * powers[1:], axis=1)
-    moved = np.cumsum((codes + np.uint64(1)) * powers[:-1], axis=1)  # each character one place earlier
-    cut = moved[:, -1:] - moved
-    cut[:, 1:] += here[:, :-1]
-    return mix(np.concatenate([here[:, -1:] + np.uint64(n), cut + np.uint64(n - 1)], 1))
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over the characters of strings (rows), each in its place and each one place earlier."""
+    powers = np.cumprod(np.full(codes.shape[1] + 1, 0x9E3779B97F4A7C15, np.uint64))
+    return np.cumsum((codes + np.uint64(1)) * powers[1:], axis=1), np.cumsum((codes + np.uint64(1)) * powers[:-1], axis=1)
+
+
+def _forms(here: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Keys of strings as they are and without each of their characters, from their sums; mix() makes hashes of them."""
+    n = here.shape[1]
+    out = np.empty((len(here), n + 1), np.uint64)
+    out[:, 0] = here[:, -1] + np.uint64(n)
+    np.subtract(moved[:, -1:] + np.uint64(n - 1), moved, out=out[:, 1:])
+    out[:, 2:] += here[:, :-1]
+    return out
+
+
+class Known:
+    """A set of hashes; a table of the keys' leading bits turns most others down."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.hashes = np.unique(mix(keys))
+        bits = min(max(16, 5 + len(keys).bit_length()), 22)
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[keys >> self.shift] = True
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of which one key at least is in the set."""
+        row, column = np.nonzero(self.table[keys >> self.shift])
+        got = mix(keys[row, column])
+        return row[self.hashes[np.minimum(np.searchsorted(self.hashes, got), len(self.hashes) - 1)] == got]
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -87,9 +112,9 @@ class Filter:
             by_length: dict[int, list[str]] = {}
             for e in entries:
                 by_length.setdefault(len(e), []).append(e)
-            forms = [_hashes(_codes(es, n)).ravel() for n, es in by_length.items()]
+            forms = [_forms(*_sums(_codes(es, n))).ravel() for n, es in by_length.items()]
             lengths = sorted({n + d for n in by_length for d in (-1, 0, 1)} - {0})
-            sets.append((lengths, np.unique(np.concatenate(forms)) if forms else np.zeros(0, np.uint64)))
+            sets.append((lengths, Known(np.concatenate(forms)) if forms else None))
         (self.lengths, self.whole), (self.starts, self.stems) = sets
         self.width = max([1, *self.lengths, *self.starts])
 
@@ -105,14 +130,12 @@ class Filter:
         for a in range(0, len(rows), step):
             part = rows[a : a + step]
             size = np.fromiter(map(len, part), np.int64, len(part))
-            codes = _codes([r[: self.width] for r in part], self.width)
+            here, moved = _sums(_codes([r[: self.width] for r in part], self.width))
             found = np.zeros(len(part), bool)
-            for known, n, here in [*((self.whole, n, size == n) for n in self.lengths), *((self.stems, n, size >= n) for n in self.starts)]:
-                at = np.flatnonzero(here & ~found)
-                if len(at) and len(known):
-                    forms = _hashes(codes[at, :n])
-                    near = known[np.minimum(np.searchsorted(known, forms), len(known) - 1)] == forms
-                    found[at[near.any(1)]] = True
+            for known, n, fits in [*((self.whole, n, size == n) for n in self.lengths), *((self.stems, n, size >= n) for n in self.starts)]:
+                at = np.flatnonzero(fits & ~found)
+                if len(at):
+                    found[at[known.rows(_forms(here[at, :n], moved[at, :n]))]] = True
             good[np.array(owner[a : a + step], np.int64)[found]] = True
         return good
 
@@ -146,11 +169,6 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = (entry, stem)
         self.shortest = min((len(e) for e, _ in entries), default=0)
-        # what an entry leaves with a character blanked or cut; starts of words are looked up there before the walk
-        self.whole = {e for e, _ in entries}
-        self.blanks = {f"{e[:i]}\0{e[i + 1 :]}" for e in self.whole for i in range(len(e))}
-        self.cuts = {e[:i] + e[i + 1 :] for e in self.whole for i in range(len(e))}
-        self.starts = sorted({len(e) + d for e, stem in entries if stem for d in (-1, 0, 1)})
         self.filter = Filter(self.words, self.stems)
 
     def exact(self, word: str) -> bool:
@@ -198,90 +216,128 @@ class Trie:
         if len(word) < self.shortest - 1 or not self.root:
             return
         for form in {word, *looks(word)}:
-            if self._close(form):
-                yield from (((word[:n], stem), entry) for n, stem, entry in self._walk(form))
-
-    def _close(self, word: str) -> bool:
-        """Whether the word or a start of it is an entry with at most one edit."""
-        for start in {word, *(word[:n] for n in self.starts)}:
-            if start in self.cuts or start in self.whole:
-                return True
-            for i in range(len(start)):
-                head, tail = start[:i], start[i + 1 :]
-                if f"{head}\0{tail}" in self.blanks or head + tail in self.whole:
-                    return True
-                if tail and head + tail[0] + start[i] + tail[1:] in self.whole:
-                    return True
-        return False
+            yield from (((word[:n], stem), entry) for n, stem, entry in self._walk(form))
 
     def _walk(self, word: str):
-        """(length, is stem, entry) of the word's beginnings one edit away from entries.
+        """(length, is stem, entry) of the word's beginnings at most one edit away from entries; of a stem, the beginning of its own length, else the longer, else the shorter one.
 
-        The automaton's states are rows of edit distances to the word's prefixes, cut at 2; a state
-        knows the row before it and the character between them, for swapped neighbours.
+        A state of the automaton is a place in the word and whether the edit is spent. Before
+        that one path of the trie agrees with the word, and each edit leaves it for another that must agree to its end.
         """
-        stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)), 0, None, "")]
-        while stack:
-            node, row, depth, before, last = stack.pop()
+        size, ends = len(word), []
+
+        def follow(node, i):
+            while node is not None:
+                if "" in node:
+                    ends.append((*node[""], i))
+                node = node.get(word[i]) if i < size else None
+                i += 1
+
+        node, i = self.root, 0
+        while node is not None:
             if "" in node:
-                entry, stem = node[""]
-                if stem:
-                    size = next((n for n in (depth, depth + 1, depth - 1) if 0 <= n < len(row) and row[n] <= 1), None)
-                    if size is not None:
-                        yield size, True, entry
-                elif row[-1] <= 1:
-                    yield len(word), False, entry
+                ends.append((*node[""], i))
+            if i < size:
+                follow(node, i + 1)  # a character of the word is one too many
             for c, child in node.items():
                 if c:
-                    new = [min(row[0] + 1, 2)]
-                    for i, w in enumerate(word):
-                        step = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c), 2)
-                        if before and i and w == last and word[i - 1] == c:
-                            step = min(step, before[i - 1] + 1)
-                        new.append(step)
-                    if min(new) <= 1 or min(row) == 0:
-                        stack.append((child, tuple(new), depth + 1, row, c))
+                    follow(child, i)  # the word lacks c
+                    if i < size:
+                        follow(child, i + 1)  # it has another one
+                    if i + 1 < size and word[i + 1] == c:
+                        follow(child.get(word[i]), i + 2)  # c and its neighbour are swapped
+            node = node.get(word[i]) if i < size else None
+            i += 1
+        starts: dict[str, int] = {}
+        for entry, stem, n in ends:
+            if stem:
+                starts[entry] = min(starts.get(entry, n), n, key=lambda n: (n - len(entry)) % 3)
+            elif n == size:
+                yield n, False, entry
+        yield from ((n, True, entry) for entry, n in starts.items())
+
+
+#: Terms of words: their names, whether each is a stem, and (number of a word, number of a term of it) pairs in the order of the words.
+Terms = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
+
+
+def terms_of(words: list[str]) -> Terms:
+    """Each word itself and its beginnings."""
+    column = pa.array(words, pa.large_string())
+    size = pc.utf8_length(column).to_numpy()
+    own = np.flatnonzero(size > 2)
+    names, stems, owner, term, known = [column.take(pa.array(own))], [np.zeros(len(own), bool)], [own], [np.arange(len(own))], len(own)
+    for n in STEM_LENGTHS:
+        at = np.flatnonzero(size >= n)
+        coded = pc.utf8_slice_codeunits(column.take(pa.array(at)), 0, n).dictionary_encode()
+        names.append(coded.dictionary)
+        stems.append(np.ones(len(coded.dictionary), bool))
+        owner.append(at)
+        term.append(coded.indices.to_numpy().astype(np.int64) + known)
+        known += len(coded.dictionary)
+    owner, term = np.concatenate(owner), np.concatenate(term)
+    order = np.argsort(owner, kind="stable")
+    return pa.concat_arrays(names), np.concatenate(stems), owner[order], term[order]
+
+
+def listed(each: Iterable[Iterable[tuple[str, bool]]]) -> Terms:
+    """The (term, is stem) of each word as Terms."""
+    known: dict[tuple[str, bool], int] = {}
+    pairs = np.array([(i, known.setdefault(t, len(known))) for i, mine in enumerate(each) for t in mine], np.int64).reshape(-1, 2)
+    return pa.array([t for t, _ in known], pa.large_string()), np.array([s for _, s in known], bool), pairs[:, 0], pairs[:, 1]
 
 
-def terms_of(words: list[str]) -> list[list[tuple[str, bool]]]:
-    """(term, is stem) of each word: the word itself and its beginnings."""
-    return [[(w, False)] * (len(w) > 2) + [(w[:n], True) for n in STEM_LENGTHS if len(w) >= n] for w in words]
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorts in place."""
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
-def _counted(batch: pa.RecordBatch, terms: Callable[[list[str]], list[Iterable[tuple[str, bool]]]]) -> Iterable[pa.RecordBatch]:
+def _counted(batch: pa.RecordBatch, terms: Callable[[list[str]], Terms]) -> Iterable[pa.RecordBatch]:
     """term, stem, toxic, copy_of, n of a block of texts: how many have each term."""
     found = Words(batch.column("text"), lower=False)
     if not len(found.begin):
         return
+    first = found.first
     code, forms = word_forms(found)
+    del found
     number: dict[str, int] = {}
     word_of = np.array([number.setdefault(f.strip(_EDGES).lower(), len(number)) for f in forms], np.int64)
     words = list(number)
-    text = np.repeat(np.arange(batch.num_rows), np.diff(found.first))
-    text, word = np.divmod(np.unique(text * len(words) + word_of[code]), len(words))
-    known: dict[tuple[str, bool], int] = {}
-    each = [[known.setdefault(t, len(known)) for t in mine] for mine in terms(words)]
-    if not known:
+    del forms, number
+    names, stems, owner, term_of = terms(words)
+    if not len(names):
         return
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((t for mine in each for t in mine), np.int64, int(size.sum()))
-    term = gather(flat, (np.cumsum(size) - size)[word], size[word])
-    text, term = np.divmod(np.unique(np.repeat(text, size[word]) * len(known) + term), len(known))
+    begin = np.searchsorted(owner, np.arange(len(words) + 1))
+    size = np.diff(begin)
     groups = batch.column("copy_of").dictionary_encode()
     group = groups.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
-    toxic = batch.column("toxic").to_numpy().astype(np.int64)
     many = 4 * (len(groups.dictionary) + 1)
-    key, n = np.unique(term * many + 4 * group[text] + toxic[text], return_counts=True)
-    term, rest = np.divmod(key, many)
-    group = rest // 4
-    n[group > 0] = 1  # copies count as one text
-    names = pa.array([t for t, _ in known], pa.string())
-    stems = pa.array([s for _, s in known], pa.bool_())
-    for a in range(0, len(term), HELD_TERMS):
-        part = slice(a, a + HELD_TERMS)
-        at = pa.array(term[part])
-        copies = groups.dictionary.take(pa.array(group[part] - 1, mask=group[part] == 0)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([names.take(at), stems.take(at), pa.array(rest[part] % 4), copies, pa.array(n[part])], ["term", "stem", "toxic", "copy_of", "n"])
+    kind = 4 * group + batch.column("toxic").to_numpy().astype(np.int64)
+    # few texts at a time: their pairs of text and term are many
+    keys, counts, a = [], [], 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + HELD_WORDS, "right")) - 1)
+        text = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+        text, word = np.divmod(_distinct(text * len(words) + word_of[code[first[a] : first[b]]]), len(words))
+        term = gather(term_of, begin[word], size[word])
+        text, term = np.divmod(_distinct(np.repeat(text, size[word]) * len(names) + term), len(names))
+        key, n = np.unique(term * many + kind[a:b][text], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        a = b
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del code, word_of, owner, term_of, begin, size, text, word, term, keys, counts
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    del order
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    key, n = key[cut], np.add.reduceat(n, cut)
+    for a in range(0, len(key), HELD_TERMS):
+        term, rest = np.divmod(key[a : a + HELD_TERMS], many)
+        own = rest < 4  # copies count as one text
+        copies = groups.dictionary.take(pa.array(rest // 4 - 1, mask=own)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(term)).cast(pa.string()), pa.array(stems[term]), pa.array(rest % 4), copies, pa.array(np.where(own, n[a : a + HELD_TERMS], 1))], ["term", "stem", "toxic", "copy_of", "n"])
 
 
 def word_forms(found: Words) -> tuple[np.ndarray, list[str]]:
@@ -292,13 +348,15 @@ def word_forms(found: Words) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy(), [f.strip(" \t\n\r\v\f") for f in coded.dictionary.to_pylist()]
 
 
-def _term_counts(texts: DataFrame, terms: Callable[[list[str]], list[Iterable[tuple[str, bool]]]] = terms_of) -> DataFrame:
+def _term_counts(texts: DataFrame, terms: Callable[[list[str]], Terms] = terms_of) -> DataFrame:
     """term, stem, found, against and the same of each half (found0, ...): how many toxic and clean texts have each term, copies (``copy_of``) as one.
 
     ``terms`` names the terms of each of a list of words.
     """
 
     def count(batches):
+        if terms is terms_of:
+            _trie.cache_clear()  # a worker lives on, and no lexicon is known yet
         for batch in steps(batches, size=COUNTED_BYTES):
             yield from _counted(batch, terms)
 
@@ -411,9 +469,9 @@ def _clean_forms(texts: DataFrame, lexicons: dict[str, Lexicon], sizes: dict[str
     if not (words or stems):
         return {p: {} for p in lexicons}
 
-    def near(known: list[str]) -> list[Iterable[tuple[str, bool]]]:
+    def near(known: list[str]) -> Terms:
         trie = _trie(words, stems, frozenset())
-        return [trie.near(w) if close else () for w, close in zip(known, trie.filter.passes(known))]
+        return listed(trie.near(w) if close else () for w, close in zip(known, trie.filter.passes(known)))
 
     counts = stored(_term_counts(texts, near), "forms")
     out = {}
@@ -447,7 +505,7 @@ def reduced(good: dict[tuple[str, bool], int]) -> tuple[frozenset[str], frozense
     return frozenset(words), frozenset(stems)
 
 
-@lru_cache(maxsize=3)
+@lru_cache(maxsize=2)
 def _trie(words: frozenset[str], stems: frozenset[str], clean: frozenset[tuple[str, bool]] | None = None, strong: frozenset[str] = frozenset()) -> Trie:
     return Trie(words, stems, clean, strong)
 
