@@ -203,3 +203,19 @@ def test_edits_of_stems_name_the_beginning_they_take():
     near = lambda word: {key for key, _ in trie._near(word)}
     assert near("snarxels") == {("snarx", True)} and near("snxarfels") == {("snxarf", True)} and near("snafels") == {("snaf", True)} and near("sanrfels") == {("sanrf", True)}
     assert near("scm") == near("scumm") - {("scumm", False)} | {("scm", False)} and near("xscumx") == set() == near("snels")
+
+
+def test_batches_are_cut_by_bytes(spark):
+    """Long rows would else make a batch of tens of MB, which the JVM and the Python worker hold at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fresh = spark.newSession()
+    docs = fresh.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 200) AS text")
+    labels = fresh.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    size = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"]) for b in batches), "size long")
+    assert size.agg({"size": "max"}).first()[0] > 12e6
+    assert toxicity.without_toxic(docs, labels).count() == 6000
+    assert size.agg({"size": "max"}).first()[0] < 4.3e6 and size.count() >= 3
+    own = spark.newSession()
+    own.conf.set(key, "1m")
+    toxicity.without_toxic(own.createDataFrame(docs.limit(3).collect()), own.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert own.conf.get(key) == "1m"

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import over_arrow, released, small, steps, stored
+from waymark.llm.common import over_arrow, released, small, small_batches, steps, stored
 from waymark.llm.components import components
 from waymark.llm.neardup import signatures
 from waymark.llm.textkernel import Words, gather, mix, shingle_sets
@@ -40,6 +40,8 @@ FUZZY_LENGTH = 6
 REMEMBERED = 30_000
 #: Written forms whose kind and marks are kept between steps: at some 100 bytes each.
 FORMS_HELD = 100_000
+#: Text bytes that are searched for hits at once.
+SEARCHED_BYTES = 1 << 20
 #: Counted terms that a task passes on at once.
 HELD_TERMS = 100_000
 #: Words of a block whose pairs of text and term are held at once (of one text at least).
@@ -607,6 +609,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     The weights see each half of the texts through the lexicon of the other half, so they know what
     hits are worth on texts that chose no entry. Where a half lacks toxic or clean texts, all texts serve for both.
     """
+    small_batches(docs.sparkSession)
     texts = stored(with_copies(labelled(docs, labels)), "texts")
     sizes = _sizes(texts)
     parts = ("", "0", "1") if min(sizes["0"] + sizes["1"]) else ("",)
@@ -627,7 +630,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             got[at] = x.features(batch.column("text").take(pa.array(at)))
         return pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("toxic").cast(pa.int64()), batch.column("times")], [*FEATURES, "toxic", "times"])
 
-    seen = over_arrow(texts, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic", "times"]))
+    seen = over_arrow(texts, run, ", ".join(f"{c} long" for c in [*FEATURES, "toxic", "times"]), size=SEARCHED_BYTES)
     cells = seen.groupBy(*FEATURES).agg(F.sum(F.col("toxic") * F.col("times")).alias("positive"), F.sum("times").alias("total")).collect()
     released(texts)
     if not cells:
@@ -648,7 +651,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text")))], ["doc_id", "score"])
 
-    got = over_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    got = over_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double", size=SEARCHED_BYTES)
     return got.select("doc_id", in_fold("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -659,4 +662,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.scores(batch.column("text")) < 0.5))
 
-    return over_arrow(docs, run, docs.schema)
+    return over_arrow(docs, run, docs.schema, size=SEARCHED_BYTES)
