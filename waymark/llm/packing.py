@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import Counters, steps, stored, with_ranks
-from waymark.llm.tokens import encoder
+from waymark.llm.tokens import ENCODED_BYTES, encoder
 
 #: lengths of a window's pieces with their numbers, and how many windows are filled alike
 Plan = list[tuple[list[tuple[int, int]], int]]
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, path: str, word: bool, capacity: int, end_id: int, w
 
         task, seen = TaskContext.get().partitionId(), Counters()
         encode = encoder(path, word)
-        for batch in steps(batches):
+        for batch in steps(batches, size=ENCODED_BYTES, kind="ids"):
             ids, offs = encode.ids(batch.column("text"))
             ids = np.insert(ids, offs[1:], end_id).astype("<u4")
             offs = offs + np.arange(len(offs))
@@ -179,8 +179,9 @@ def placed(cut: DataFrame, pack: Callable[[dict[int, int], int], Plan], capacity
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(pack(counts, capacity))
     spark = cut.sparkSession
-    schema = "length long, low long, high long, per long, first long, base long"
-    runs = spark.createDataFrame(table, schema)  # a few rows for each length at most
+    columns = zip(*table) if table else [()] * 6
+    names = ["length", "low", "high", "per", "first", "base"]
+    runs = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))  # a few rows for each length at most; Arrow needs no Python workers
     found = with_ranks(cut, "length").join(F.broadcast(runs), "length").where("rank >= low and rank < high")
     at = F.col("rank") - F.col("low")
     found = found.withColumn("sequence_id", F.col("first") + F.floor(at / F.col("per")))

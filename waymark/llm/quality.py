@@ -40,6 +40,8 @@ PHRASES = {
     "es": "todos los derechos reservados|términos (?:de uso|y condiciones)|política de privacidad|aviso legal|iniciar sesión|suscríbete|haz clic aquí|leer más|compartir en|volver arriba",
 }
 BOILERPLATE = f"(?i)({'|'.join(PHRASES.values())})"
+#: Text bytes that are judged at once.
+JUDGED_BYTES = 1 << 20
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _BREAKS = np.zeros(256, bool)
@@ -162,7 +164,7 @@ def line_quality(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, figures.values())], ["doc_id", *figures])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, n_failed_lines long"
-    return over_arrow(docs.select("doc_id", "text"), run, schema)
+    return over_arrow(docs.select("doc_id", "text"), run, schema, size=JUDGED_BYTES)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -185,4 +187,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
         columns = [texts if c == "text" else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(kept))
 
-    return over_arrow(docs, run, docs.schema)
+    return over_arrow(docs, run, docs.schema, size=JUDGED_BYTES)

@@ -18,11 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from waymark.llm.common import over_arrow, text_buffer
+from waymark.llm.common import HELD, over_arrow, text_buffer
 from waymark.llm.textkernel import gather
 
 #: Encoded pieces that a Python worker remembers between blocks.
 PIECES = 500_000
+#: Text bytes whose ids are found at once: their pieces and ids take some 70 bytes of memory a byte meanwhile.
+ENCODED_BYTES = 1 << 20
 #: Pieces longer than this are never remembered.
 LONGEST = 64
 
@@ -195,8 +197,8 @@ class ByteLevel:
         keep = np.repeat(plain, np.diff(offs))
         ids, ends = self._plain_ids(raw[keep], kind[keep], np.r_[0, np.cumsum(np.diff(offs)[plain])])
         rest = np.flatnonzero(~plain)
-        whole = self.tokenizer.encode_batch_fast(column.take(pa.array(rest)).to_pylist(), add_special_tokens=False)
-        whole = dict(zip(rest.tolist(), (np.array(e.ids, np.uint32) for e in whole)))
+        # one by one: what the library makes of a text is many times its ids
+        whole = {i: np.array(self.tokenizer.encode_batch_fast([column[i].as_py()], add_special_tokens=False)[0].ids, np.uint32) for i in rest.tolist()}
         spans = iter(zip(ends[:-1], ends[1:]))
         parts = [whole[i] if i in whole else ids[slice(*next(spans))] for i in range(n)]
         return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
@@ -263,9 +265,12 @@ def character_ends(ids: np.ndarray, raw: np.ndarray, path: str) -> np.ndarray:
     return np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][ends] if len(ids) else ends
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, word: bool = False) -> ByteLevel:
-    return (WordLevel if word else ByteLevel)(path)
+    """The encoder that this Python worker holds for work of kind ``ids``, with the pieces it remembers."""
+    held = HELD.setdefault("ids", {})
+    if (path, word) not in held:
+        held[path, word] = (WordLevel if word else ByteLevel)(path)
+    return held[path, word]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -283,7 +288,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         end_lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, end_lists], ["doc_id", "ids", "ends"])
 
-    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, ends array<int>")
+    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, ends array<int>", kind="ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -317,4 +322,4 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
         names = ["ids_sha256", "decoded_sha256", "ends_sha256"]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), *[pa.array(x, pa.string()) for x in digests]], ["doc_id", "n_tokens", *names])
 
-    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string")
+    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string", kind="ids")
