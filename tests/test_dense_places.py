@@ -42,3 +42,9 @@ def test_coverage_of_dense_places(spark):
     assert len(got) == 6000 and {r.total for r in got} == {30_000}
     # points with a number divisible by 4 lie on day 0
     assert {(r.day, r.mate) for r in got if r.covered == r.total} == {(0, 0), (0, 1)} | {(1, m) for m in range(3000)} and {r.covered for r in got} == {15_000, 30_000}
+
+
+def test_only_leader_of_dense_places(spark):
+    with within(spark, 60):
+        got = joins.only_leader(_covered(spark, "load", "mate").where("day = 0 and mate > 0"), ["day", "load"], "covered").collect()
+    assert [(r.day, r.load, r.mate, r.covered) for r in got] == [(0, 7, 1, 30_000)]
