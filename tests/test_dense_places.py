@@ -3,11 +3,10 @@
 import threading
 from contextlib import contextmanager
 
-import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
-from waymark.operators import joins
+from waymark.operators import cascade, joins
 
 AT = (-22.9, -43.2)
 
@@ -48,3 +47,16 @@ def test_only_leader_of_dense_places(spark):
     with within(spark, 60):
         got = joins.only_leader(_covered(spark, "load", "mate").where("day = 0 and mate > 0"), ["day", "load"], "covered").collect()
     assert [(r.day, r.load, r.mate, r.covered) for r in got] == [(0, 7, 1, 30_000)]
+
+
+def test_rotation_of_a_dense_load(spark):
+    """Vehicles 1 and 2 pass all of a load of 40,000 rows, of which 10 are vehicle 2's own and 1 has none; vehicle 3 passes none of it."""
+    k = F.col("id")
+    vehicle = F.when(k == 11, None).when(k <= 10, 2).otherwise(9)
+    rows = _at(spark.range(1, 40_001), F.lit(0)).select(
+        k.alias("delivery"), vehicle.alias("vehicle"), F.lit(5).alias("load"), "lat", "lng", F.lit(100).alias("planned_at"), F.lit("none").alias("kind"), F.lit("pending").alias("status"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("string").alias("note")
+    )
+    stops = _at(spark.range(60_000), F.when(k % 3 == 2, 5000).otherwise(50 + k % 3), "_r").select(k.alias("stop_id"), (k % 3 + 1).alias("by"), (k % 86_400).alias("start"), (k % 86_400 + 300).alias("end"), "lat_r", "lng_r")
+    with within(spark, 60):
+        got = cascade.rotated_load(rows, stops).groupBy("kind", "note", "at", F.round("dist").alias("dist")).agg(F.count("*").alias("n")).collect()
+    assert sorted(((r.kind, r.note, r.at, r.dist, r.n) for r in got), key=str) == [("none", "plan plate did not pass", None, None, 1), ("rotation", "rotation", 0, 50.0, 39_999)]
