@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
-from waymark.operators import cascade, joins
+from waymark.operators import cascade, joins, review
 
 AT = (-22.9, -43.2)
 
@@ -60,3 +60,13 @@ def test_rotation_of_a_dense_load(spark):
     with within(spark, 60):
         got = cascade.rotated_load(rows, stops).groupBy("kind", "note", "at", F.round("dist").alias("dist")).agg(F.count("*").alias("n")).collect()
     assert sorted(((r.kind, r.note, r.at, r.dist, r.n) for r in got), key=str) == [("none", "plan plate did not pass", None, None, 1), ("rotation", "rotation", 0, 50.0, 39_999)]
+
+
+def test_suggestions_at_one_place(spark):
+    """40,000 stops of two names, one of them null, and 3000 stores, all at one place: the best of each name are looked for once."""
+    k = F.col("id")
+    stops = _at(spark.range(40_000), F.lit(0)).select(k.alias("stop_id"), F.when(k % 2 == 0, "Store 12").alias("nm"), "lat", "lng")
+    stores = _at(spark.range(3000), F.when(k < 10, 10).otherwise(20), "_r").select(k.alias("store_id"), F.concat(F.lit("STORE "), F.lpad(k.cast("string"), 4, "0")).alias("nr"), "lat_r", "lng_r")
+    with within(spark, 60):
+        got = review.suggestions(stops, stores, ["stop_id"], "nm", "nr", 800.0, 2).groupBy("nm", "place", "store_id").agg(F.count("*").alias("n")).collect()
+    assert {(r.nm, r.place, r.store_id): r.n for r in got} == {(None, 1, 0): 20_000, (None, 2, 1): 20_000, ("Store 12", 1, 0): 20_000, ("Store 12", 2, 1): 20_000}

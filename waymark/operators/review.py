@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
 from waymark.functions.text import name_key, similarity
-from waymark.operators.joins import best_per, interval_join, latest, range_join
+from waymark.operators.joins import best_per, interval_join, latest, many, near_places
+from waymark.sources.store import kept
 
 
 def search(df: DataFrame, columns: list[str], text: str, least: int = 3, most: int = 30, order: list[str] | None = None) -> DataFrame:
@@ -38,11 +39,20 @@ def review_queue(df: DataFrame, category: str, categories: list[str], order: lis
 
 
 def suggestions(stops: DataFrame, stores: DataFrame, key: list[str], name: str, name_r: str, radius_m: float = 500.0, k: int = 5, least: float = 0.5) -> DataFrame:
-    """Up to ``k`` stores near each stop: score is the larger of name and distance likeness, plus 0.05 if both are good."""
-    met = range_join(stops, stores, [], radius_m, haversine)
-    by_name, by_place = similarity(name_key(F.col(name)), name_key(F.col(name_r))), 1 - F.col("dist") / radius_m
-    score = F.greatest(by_name, by_place) + F.when((by_name >= least) & (by_place >= least), 0.05).otherwise(0.0)
-    return best_per(met.withColumn("score", score).where(F.col("score") >= least), key, [F.col("score").desc(), F.col("dist"), F.col(name_r)], k, "place")
+    """Up to ``k`` stores near each stop: score is the larger of name and distance likeness, plus 0.05 if both are good.
+
+    Stops of one name and place have the same stores, so these are looked for once.
+    """
+    order, same = [F.col("score").desc(), F.col("dist"), F.col(name_r)], ["_name", "_lat", "_lng"]
+    around = near_places(stops, stores, [], radius_m, haversine).groupBy(F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).agg(F.collect_list(F.struct("lat_r", "lng_r", "dist")).alias("_around"))
+    asked = stops.select(F.col(name).alias("_name"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).repartition(many(stops), *same).distinct().withColumn("_key", name_key(F.col("_name")))
+    met = asked.join(kept(around, "around"), ["_lat", "_lng"]).select(*same, "_key", F.inline("_around")).join(stores.withColumn("_key_r", name_key(F.col(name_r))), ["lat_r", "lng_r"])
+    by_name, by_place = similarity(F.col("_key"), F.col("_key_r")), 1 - F.col("dist") / radius_m
+    met = met.where((by_place >= least) | (by_name >= least)).withColumn("_likeness", by_name)
+    score = F.greatest(F.col("_likeness"), by_place) + F.when((F.col("_likeness") >= least) & (by_place >= least), 0.05).otherwise(0.0)
+    best = best_per(met.withColumn("score", score).drop("_key", "_key_r", "_likeness"), same, order, k)
+    mine = F.col(name).eqNullSafe(F.col("_name")) & (F.col("lat") == F.col("_lat")) & (F.col("lng") == F.col("_lng"))
+    return best_per(stops.join(best, mine).drop(*same), key, order, k, "place")
 
 
 def approved(aliases: DataFrame, votes: DataFrame, key: list[str], step: float = 0.1, auto: int = 5) -> DataFrame:
