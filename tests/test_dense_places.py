@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
-from waymark.operators import cascade, joins, review
+from waymark.operators import cascade, evidence, joins, review
 
 AT = (-22.9, -43.2)
 
@@ -70,3 +70,14 @@ def test_suggestions_at_one_place(spark):
     with within(spark, 60):
         got = review.suggestions(stops, stores, ["stop_id"], "nm", "nr", 800.0, 2).groupBy("nm", "place", "store_id").agg(F.count("*").alias("n")).collect()
     assert {(r.nm, r.place, r.store_id): r.n for r in got} == {(None, 1, 0): 20_000, (None, 2, 1): 20_000, ("Store 12", 1, 0): 20_000, ("Store 12", 2, 1): 20_000}
+
+
+def test_other_vehicles_at_dense_places(spark):
+    """20,000 rows of three vehicles beside 40,000 stops: vehicle 1 made the nearest ones, vehicle 2 the first at the second place, vehicle 3 stops no two minutes."""
+    k = F.col("id")
+    plan = _at(spark.range(20_000), F.lit(0)).select(k.alias("delivery"), (k % 3 + 1).alias("vehicle"), "lat", "lng", F.lit(100).alias("planned_at"))
+    who = F.when(k < 20_000, 1).when(k % 2 == 0, 2).otherwise(3)
+    stops = _at(spark.range(40_000), F.when(who == 1, 50).otherwise(90), "_r").select(k.alias("stop_id"), who.alias("vehicle"), (k % 80_000).alias("start"), (k % 80_000 + F.when(who == 3, 60).otherwise(300)).alias("end"), "lat_r", "lng_r")
+    with within(spark, 60):
+        got = evidence.other_vehicle_stop(plan, stops).join(plan, "delivery").groupBy("vehicle", "by", "stop_id", "start").agg(F.count("*").alias("n")).collect()
+    assert {(r.vehicle, r.by, r.stop_id, r.start): r.n for r in got} == {(1, 2, 20_000, 20_000): 6667, (2, 1, 0, 0): 6667, (3, 1, 0, 0): 6666}
