@@ -81,3 +81,23 @@ def test_other_vehicles_at_dense_places(spark):
     with within(spark, 60):
         got = evidence.other_vehicle_stop(plan, stops).join(plan, "delivery").groupBy("vehicle", "by", "stop_id", "start").agg(F.count("*").alias("n")).collect()
     assert {(r.vehicle, r.by, r.stop_id, r.start): r.n for r in got} == {(1, 2, 20_000, 20_000): 6667, (2, 1, 0, 0): 6667, (3, 1, 0, 0): 6666}
+
+
+def _decided(spark):
+    """20,000 rows of a vehicle without stops, every tenth out of reach, beside 40,000 stops of another."""
+    k = F.col("id")
+    plan = _at(spark.range(20_000), F.when(k % 10 == 0, 9000).otherwise(0)).select(k.alias("delivery"), F.lit(4).alias("vehicle"), F.floor(k / 20).alias("client"), "lat", "lng", (100 + k % 20).alias("planned_at"))
+    stops = _at(spark.range(40_000), F.lit(50), "_r").select(k.alias("stop_id"), F.lit(1).alias("vehicle"), (k % 80_000).alias("start"), (k % 80_000 + 300).alias("end"), "lat_r", "lng_r")
+    return evidence.decided(plan, stops, plan.limit(0).select("delivery", F.col("planned_at").alias("at")))
+
+
+def test_evidence_at_dense_places(spark):
+    with within(spark, 60):
+        got = _decided(spark).groupBy("kind", "status", "at").agg(F.count("*").alias("n")).collect()
+    assert {(r.kind, r.status, r.at): r.n for r in got} == {("other_vehicle", "confirmed", 0): 18_000, ("none", "pending", None): 2000}
+
+
+def test_same_address_at_dense_places(spark):
+    with within(spark, 60):
+        got = evidence.taken_up(_decided(spark), ["client"]).groupBy("kind", "status", "at").agg(F.count("*").alias("n")).collect()
+    assert {(r.kind, r.status, r.at): r.n for r in got} == {("other_vehicle", "confirmed", 0): 18_000, ("same_address", "confirmed", 0): 2000}
