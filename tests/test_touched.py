@@ -61,6 +61,14 @@ def test_replay_crash_and_restart(spark, tmp_path):
     assert _rows(left) == [r for r in _rows(got) if r[0] != days[0]]
 
 
+def test_several_batches_of_one_run(spark, tmp_path):
+    events, come = _events(spark).where("t is not null"), str(tmp_path / "come")
+    for k in range(4):
+        events.where(f"event_id % 4 = {k}").coalesce(1).write.parquet(f"{come}/{k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(come)
+    assert _rows(recomputed_days(stream, live.day_reports)) == _rows(live.day_reports(events)) and stream.schema == events.schema
+
+
 def test_no_rows(spark, tmp_path):
     come = str(tmp_path / "come")
     _events(spark).limit(0).write.parquet(come)

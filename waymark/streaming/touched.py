@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waymark.sources.store import shared_path
 
 
+def _numbered(schema: StructType) -> StructType:
+    """``schema`` and ``batch``, as a type of its own: ``add`` on a type made from its fields would change ``schema`` as well."""
+    return StructType([*schema.fields, StructField("batch", LongType())])
+
+
 def _landed(spark: SparkSession, root: str, schema: StructType, number: int) -> DataFrame:
     """All rows that arrived up to a batch."""
-    full = StructType(schema.fields).add("batch", LongType())
-    return spark.read.schema(full).parquet(f"{root}/landed").where(F.col("batch") <= number).drop("batch")
+    return spark.read.schema(_numbered(schema)).parquet(f"{root}/landed").where(F.col("batch") <= number).drop("batch")
 
 
 def days_as_of(spark: SparkSession, root: str) -> DataFrame:
@@ -25,8 +29,7 @@ def days_as_of(spark: SparkSession, root: str) -> DataFrame:
 
 def current(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The result of every day as its last batch computed it; a day that came out empty has no rows."""
-    full = StructType(schema.fields).add("batch", LongType())
-    return spark.read.schema(full).parquet(f"{root}/results").join(F.broadcast(days_as_of(spark, root)), ["day", "batch"]).select(*schema.names)
+    return spark.read.schema(_numbered(schema)).parquet(f"{root}/results").join(F.broadcast(days_as_of(spark, root)), ["day", "batch"]).select(*schema.names)
 
 
 def recomputed_days(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
